@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import bpe, langid, packing, simhash
+from ferrule.llm import bpe, hmm, langid, lines, packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op2_pii": pii.op2_pii,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op7_language_id": langid.op7_language_id,
+    "op9_hmm": hmm.op9_hmm,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": lines.OP6_SQL}
