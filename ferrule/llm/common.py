@@ -13,16 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's checkpoint folder and cuts its lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named by spark.checkpoint.dir.
 
-    The folder is the one named by spark.checkpoint.dir; only where none is set (tests, a laptop)
-    does the driver pick a temporary one.
+    Only where none is set (tests, a laptop) is a temporary one picked.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and cuts its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
