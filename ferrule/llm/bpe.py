@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ferrule.llm.common import table
+from ferrule.llm.common import small, table
 
 _BPE: dict = {}
 
@@ -37,7 +37,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches):
         bpe = _bpe(ranks, pattern)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             spans = [list(zip(*bpe.offsets(t or ""), strict=True)) or [(), (), ()] for t in texts]
             arrays = [pa.array([s[i] for s in spans], pa.list_(pa.int32())) for i in range(3)]
@@ -58,7 +58,7 @@ def decode(ids: DataFrame, ranks: str, pattern: str, key: str = "doc_id", column
 
     def run(batches):
         bpe = _bpe(ranks, pattern)
-        for batch in batches:
+        for batch in small(batches):
             raw = [None if a is None else bpe.decode(a) for a in batch.column(1).to_pylist()]
             text = [None if b is None else b.decode("utf-8", "replace") for b in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(text, pa.string())], [key, "bytes", "text"])
@@ -77,7 +77,7 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = _bpe(ranks, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, counts, raw = zip(*bpe.encode_parts(text), strict=True) if text else ((), (), ())

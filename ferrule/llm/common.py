@@ -30,6 +30,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(batches, rows: int = 512):
+    """Arrow batches cut to few rows, so that a task turns a part of a batch into Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Generations(dict):
     """A memo of f with bounded memory: two generations of at most `size` entries each.
 

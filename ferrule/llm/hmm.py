@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import durable, table
+from ferrule.llm.common import durable, small, table
 from ferrule.llm.langid import held_out
 from ferrule.llm.simhash import LOWER
 
@@ -47,7 +47,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             held.clear()
             return rows
 
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 held.update(words(text))
                 held[END] += 1
@@ -88,7 +88,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, train) -> DataFrame:
     def run(batches):
         v, part, n = held.value, TaskContext.get().partitionId(), 0
         logs = np.append(np.log10(v.counts + 1.0), 0.0)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc, text, training in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 w = words(text)
@@ -212,7 +212,7 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
 
         def expect(batches, held=held):
             total = np.zeros(size)
-            for batch in batches:
+            for batch in small(batches, 1024):
                 total += held.value.expected([np.frombuffer(b, "<u2") for b in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "x"])
 
@@ -253,7 +253,7 @@ def score(docs: DataFrame, training) -> DataFrame:
     log_n, log_end = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
 
     def forward(batches):
-        for batch in batches:
+        for batch in small(batches, 2048):
             x = held.value.log10([np.frombuffer(b, "<u2") for b in batch.column(batch.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x)], [*batch.schema.names[:-1], "path"])
 

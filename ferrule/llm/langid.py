@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import table
+from ferrule.llm.common import small, table
 
 DIMS = 1 << 13
 #: Labelled documents a language lends to the centroids at most; document frequencies use all.
@@ -128,7 +128,7 @@ def fit(labelled: DataFrame, dims: int = DIMS, sample: int = SAMPLE, k: int = CE
 
     def frequencies(batches):
         df, n = np.zeros(dims, np.int64), 0
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).to_pylist()
             for i, j in _blocks(texts):
                 counts, _ = grams(texts[i:j], dims)
@@ -167,15 +167,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     predicted alike; other columns pass through, and ones named like the three new ones are
     replaced; an empty table gives none. A batch holds texts in blocks of bounded size.
     """
-    from pyspark.sql.functions import pandas_udf
-
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dims x centroids, of fixed size
 
-    @pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(text):
-        import pandas as pd
-
-        return pd.DataFrame(shared.value.predict(text.where(text.notna(), None).tolist()), columns=["lang_pred", "score", "rejected"])
+    @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
+    def predict(text: pa.Array) -> pa.Array:
+        out = [r for at in range(0, len(text), 512) for r in shared.value.predict(text[at : at + 512].to_pylist())]
+        columns = list(zip(*out, strict=True)) if out else [()] * 3
+        kinds = (pa.string(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang_pred", "score", "rejected"])
 
     named = docs.drop("lang_pred", "score", "rejected").withColumn("_p", predict("text"))
     return named.select(*[c for c in named.columns if c != "_p"], "_p.lang_pred", "_p.score", "_p.rejected")

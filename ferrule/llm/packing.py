@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import durable, table
+from ferrule.llm.common import durable, small, table
 
 CAPACITY = 2048
 PIECES = (
@@ -81,7 +81,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
         bpe = _worker(tokenizer, WordBpe)
         part, seen, end = TaskContext.get().partitionId(), Counter(), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = bpe.encode(text) + end

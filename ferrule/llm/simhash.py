@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import components, durable, table
+from ferrule.llm.common import components, durable, small, table
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows of one cell that are compared within one task; larger cells are dealt out as pairs of shares.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp: fp holds the 64 bits as a signed long. Null text counts as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             fp = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
