@@ -34,7 +34,7 @@ class CompiledRule:
             source = (binding or {}).get(name, name)
             if source in fields:
                 columns[name] = (df[source], fields[source].dataType, fields[source].nullable)
-        return Lowering(columns, self.equality)
+        return Lowering(columns, self.equality, self.rule.types())
 
     def lowered(self, df: DataFrame, binding: dict[str, str] | None = None) -> Lowered:
         try:

@@ -27,6 +27,12 @@ KINDS = {
     T.TimestampType: "Instant",
 }
 
+#: For variables that no column is bound to: they fail in every row, as their declared type.
+SPARK = {
+    "Integer": "int", "Long": "bigint", "Double": "double", "Float": "float", "Short": "smallint", "Byte": "tinyint", "BigDecimal": "decimal(38,18)",
+    "Boolean": "boolean", "String": "string", "LocalDate": "date", "Instant": "timestamp",
+}
+
 
 @dataclass(frozen=True)
 class Lowered:
@@ -48,10 +54,10 @@ def _guard(value: Column, error: Column | None) -> Column:
 class Lowering:
     """columns: variable -> (Column, Spark type, nullable)."""
 
-    def __init__(self, columns: dict[str, tuple[Column, T.DataType, bool]], equality: str = "strict"):
+    def __init__(self, columns: dict[str, tuple[Column, T.DataType, bool]], equality: str = "strict", declared: dict[str, str] | None = None):
         if equality not in ("strict", "numeric"):
             raise ValueError("equality is 'strict' or 'numeric'")
-        self.columns, self.numeric_equality = columns, equality == "numeric"
+        self.columns, self.numeric_equality, self.declared = columns, equality == "numeric", declared or {}
 
     def lower(self, node: Node) -> Lowered:
         if isinstance(node, Literal):
@@ -79,7 +85,8 @@ class Lowering:
     def _variable(self, name: str) -> Lowered:
         message = F.lit(f"Missing variable in execution context: {name}")
         if name not in self.columns:
-            return Lowered(F.lit(None), message, "Object")
+            kind = self.declared.get(name, "Object")
+            return Lowered(F.lit(None).cast(SPARK.get(kind, "void")), message, kind)
         column, kind, nullable = self.columns[name]
         return Lowered(column, F.when(column.isNull(), message) if nullable else None, KINDS.get(type(kind), "Object"))
 
