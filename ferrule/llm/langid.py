@@ -63,7 +63,7 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def _blocks(texts: list, chars: int = 400_000, rows: int = 64):
+def _blocks(texts: list, chars: int = 150_000, rows: int = 48):
     """Slices of the list with bounded rows and characters (one text at least)."""
     i = 0
     while i < len(texts):

@@ -96,6 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"],
             )
+        bpe.forget()  # the worker may serve other operators next
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -104,7 +105,7 @@ _BPE: dict = {}
 
 
 def _worker(path, kind, *args):
-    """One tokenizer for each Python worker; its memo outlives a task."""
+    """One tokenizer for each Python worker."""
     if path not in _BPE:
         _BPE[path] = kind(path, *args)
     return _BPE[path]

@@ -151,7 +151,8 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     Of overlapping spans the one that starts first counts (then the kind listed first), and what
     another reaches beyond it is cut as well. Null text stays null; otherwise as personal_data.
     """
-    found = personal_data(docs.withColumn("_null", F.col("text").isNull()))
+    held = {c: f"_held_{c}" for c in ("spans", "terms", "th") if c in docs.columns}  # names that the search uses itself
+    found = personal_data(docs.withColumnsRenamed(held).withColumn("_null", F.col("text").isNull()))
     words = F.expr("array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]')")
     cuts = F.array_sort(F.concat(
         F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.element_at(words, s["kind"] + 1).alias("word"))),
@@ -169,7 +170,7 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     clean = F.when(F.size("spans") + F.size("terms") == 0, F.col("text")).otherwise(F.aggregate(cuts, zero, step, end))
-    return found.select(*[F.when(~F.col("_null"), clean).alias("text") if c == "text" else c for c in docs.columns])
+    return found.select(*[F.when(~F.col("_null"), clean).alias("text") if c == "text" else F.col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

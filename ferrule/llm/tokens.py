@@ -43,6 +43,11 @@ class WordBpe:
         self.pieces = Generations(self._piece, memo)
         self.words = Generations(self._word, memo)
 
+    def forget(self) -> None:
+        for memo in (self.pieces, self.words):
+            memo.clear()
+            memo.old = {}
+
     def _piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.shown))]
         return struct.pack(f"<{len(ids)}I", *ids)
