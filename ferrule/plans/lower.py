@@ -122,7 +122,10 @@ class Lowering:
     def _compare(op: str, left: Lowered, right: Lowered) -> Column:
         """By double value; NaN is largest, and -0.0 less than 0.0 where both can occur."""
         signed = {"Double", "Float"} & {left.kind, right.kind} and not _never_zero(left, right)
-        a, b = (x.value if x.kind == "Double" else x.value.cast("double") for x in (left, right))
+        whole = {left.kind, right.kind} <= {"Integer", "Long", "Short", "Byte"}
+        small = any(isinstance(x.literal, int) and abs(x.literal) < 2**53 for x in (left, right)) or "Long" not in (left.kind, right.kind)
+        wanted = "Long" if whole and small else "Double"  # then both order alike, and the column itself reaches the scan
+        a, b = (x.value if x.kind == wanted else x.value.cast(wanted.lower()) for x in (left, right))
         plain = {">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op]
         if not signed:
             return plain
