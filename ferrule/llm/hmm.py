@@ -236,12 +236,22 @@ def score(docs: DataFrame, training) -> DataFrame:
     counts = durable(word_counts(docs.where(training)))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     ends = (counts.where(F.col("word") == F.lit(END)).head() or (None, 0))[1]
-    near = [(bytes(w), c) for w, c in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(NEAR).collect()]
-    last = near[-1] if len(near) == NEAR else None
-    edge = near[min(OWN, len(near)) - 1] if near else (b"", 0)
-    after = lambda w, c: (F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(w)))
+    # words by eighths of a power of two of their count: whole steps from the top, so that nothing is sorted or cut
+    step, real = F.floor(F.log2("c") * 8), F.col("word") != F.lit(END)
+    sizes = counts.where(real).groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect()  # 8 x 63 rows at most
+    lowest, held_words = None, 0
+    for s, m in sizes:
+        if held_words + m > NEAR:
+            break
+        lowest, held_words = s, held_words + m
+    is_near = F.lit(False) if lowest is None else step >= lowest
+    near = sorted(((bytes(w), c) for w, c in counts.where(real & is_near).collect()), key=lambda x: (-x[1], x[0]))
+    shared_words = counts.where(real)
+    if near:
+        w, c = near[min(OWN, len(near)) - 1]
+        shared_words = shared_words.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(w))))
     bucket = (F.crc32("word") % BUCKETS).alias("bucket")
-    shared = {b: (c, m) for b, c, m in counts.where((F.col("word") != F.lit(END)) & after(*edge)).groupBy(bucket).agg(F.sum("c"), F.count("*")).collect()}
+    shared = {b: (c, m) for b, c, m in shared_words.groupBy(bucket).agg(F.sum("c"), F.count("*")).collect()}
     vocabulary = Vocabulary(near, shared)
     unigram = np.zeros(OWN + BUCKETS + 1)
     np.add.at(unigram, np.arange(min(OWN, len(near))), vocabulary.counts[:OWN])
@@ -261,12 +271,9 @@ def score(docs: DataFrame, training) -> DataFrame:
     kinds = ENCODED.split(", ")[:7]
     scored = encoded.select(*names, "symbols").mapInArrow(forward, ", ".join([*kinds, "path double"]))
     own = scored.select("rid", "doc_id", "n_tokens", "known", "near_log", "shared_log", "path")
-    if last is None:
-        far = own.select("rid").limit(0).select("rid", F.lit(0.0).alias("far_log"), F.lit(0).cast("long").alias("far_known"))
-    else:
-        rest = counts.where((F.col("word") != F.lit(END)) & after(*last)).select(F.col("word").cast("string").alias("word"), "c")
-        each = encoded.where("far <> ''").select("rid", F.explode(F.split("far", "\n")).alias("word"))
-        far = each.join(rest, "word").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("far_log"), F.count("*").alias("far_known"))
+    rest = counts.where(real & ~is_near).select(F.col("word").cast("string").alias("word"), "c")
+    each = encoded.where("far <> ''").select("rid", F.explode(F.split("far", "\n")).alias("word"))
+    far = each.join(rest, "word").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("far_log"), F.count("*").alias("far_known"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return own.join(far, "rid", "left").select(
         "doc_id", "n_tokens", (F.col("known") + zero("far_known") + int(ends > 0)).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
