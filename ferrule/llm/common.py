@@ -9,7 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch at most: a batch is held in the JVM's buffers and again in the Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to BATCH; lower ones stay. Results don't depend on them."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where none is set (tests, a laptop) is a temporary one picked.
     """
+    bound_batches(spark)
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-ckpt-"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import small, table
+from ferrule.llm.common import bound_batches, small, table
 
 DIMS = 1 << 13
 #: Labelled documents a language lends to the centroids at most; document frequencies use all.
@@ -124,6 +124,7 @@ def fit(labelled: DataFrame, dims: int = DIMS, sample: int = SAMPLE, k: int = CE
     length below 400 grams). Null texts and null languages are left out; without labelled rows
     every prediction is `und`.
     """
+    bound_batches(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
 
     def frequencies(batches):
@@ -167,6 +168,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     predicted alike; other columns pass through, and ones named like the three new ones are
     replaced; an empty table gives none. A batch holds texts in blocks of bounded size.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dims x centroids, of fixed size
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")

@@ -34,7 +34,7 @@ class WordBpe:
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, memo: int = 160_000):
+    def __init__(self, path: str, memo: int = 40_000):
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
         self.model = self.full.model
@@ -77,7 +77,7 @@ class ByteBpe:
 
     CUT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-    def __init__(self, path: str, pattern: str, memo: int = 160_000):
+    def __init__(self, path: str, pattern: str, memo: int = 40_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.alphabet = byte_alphabet()
