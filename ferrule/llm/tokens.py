@@ -34,13 +34,13 @@ class WordBpe:
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, memo: int = 40_000):
+    def __init__(self, path: str, memo: int = 80_000, piece_memo: int = 160_000):
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
         self.model = self.full.model
         alphabet = byte_alphabet()
         self.shown = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0xA1, 0x100)}
-        self.pieces = Generations(self._piece, memo)
+        self.pieces = Generations(self._piece, piece_memo)  # a word differs by punctuation more often than its pieces do
         self.words = Generations(self._word, memo)
 
     def forget(self) -> None:
