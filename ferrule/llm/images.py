@@ -1,23 +1,28 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Each image is scanned at several scales for corners (Harris), each corner gets an orientation (the
-intensity centroid around it) and 128 binary intensity tests turned by it. Descriptors meet through
-Hamming tables: 128 bits in TABLES parts, equal in one part at least when at most TABLES - 1 bits
-differ. Matches of two images vote for a similarity transform; CONSENSUS corners in one cell of
-scale, turn and shift make a link. Within a table cell every image is compared with the cell's first
-and with its predecessor, not with all, so n copies make about 2n matches a corner.
+intensity centroid around it) and 128 binary intensity tests turned by it. Images meet through
+Hamming tables: 128 bits in four parts, of which two descriptors share one at least when at most
+three bits differ. An image meets the first and the last image of each cell, not all, so n copies
+make about 2n candidates a corner. Candidates that share HITS cells are held against each other by
+all their descriptors: matches vote for a similarity transform, CONSENSUS corners in one cell of
+scale, turn and shift make a link.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import components, durable, table
+from ferrule.llm.common import components, durable, small, table
 
-SCALES, CORNERS, RADIUS, TESTS, TABLES, CONSENSUS = (1.0, 0.75, 0.5), 24, 7, 128, 6, 5
+SCALES, CORNERS, RADIUS, TESTS, HITS, NEAR, CONSENSUS = (1.0, 0.75, 0.5), 20, 7, 128, 6, 16, 6
 TURNS = 32
 
 
@@ -118,84 +123,128 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(spots), np.concatenate(bits)
 
 
+#: A corner's place in one long: quarter pixels of y and x (20 bits each), scale (2), turn (10).
+def _pack_spots(spots: np.ndarray) -> np.ndarray:
+    y, x = (np.clip(np.rint(spots[:, i] * 4), 0, (1 << 20) - 1).astype(np.int64) for i in (0, 1))
+    scale = np.array([SCALES.index(v) for v in spots[:, 2]], np.int64)
+    turn = np.rint(spots[:, 3] / (2 * np.pi) * 1024).astype(np.int64) % 1024
+    return y << 32 | x << 12 | scale << 10 | turn
+
+
+def _unpack_spots(packed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """y, x, log2 of the scale, turn in radians."""
+    return (packed >> 32) / 4, (packed >> 12 & 0xFFFFF) / 4, np.log2(SCALES)[packed >> 10 & 3], (packed & 1023) * (2 * np.pi / 1024)
+
+
 def descriptors(images: DataFrame, key: str = "image_id", column: str = "image") -> DataFrame:
-    """id, spot, y, x, scale, turn, d0, d1 for each corner; what is no image has none."""
-    kinds = "id long, spot int, y double, x double, scale double, turn double, d0 long, d1 long"
+    """id, row (unlike any other's), h1, h2 (128 bits of a hash of the bytes), spots (a long a corner), bits (two longs a corner); only what is an image has a row."""
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                ids, n, spots, bits = [], [], [], []
-                for key_, data in zip(batch.column(0)[lo : lo + 256].to_pylist(), batch.column(1)[lo : lo + 256].to_pylist(), strict=True):
-                    pixels = decode_pgm(data)
-                    s, b = describe(pixels) if pixels is not None else (np.zeros((0, 4)), np.zeros((0, 2), np.uint64))
-                    ids += [key_] * len(s)
-                    n.append(np.arange(len(s)))
-                    spots.append(s)
-                    bits.append(b)
-                s, b = np.concatenate(spots), np.concatenate(bits).view(np.int64)
-                arrays = [pa.array(ids, pa.int64()), pa.array(np.concatenate(n), pa.int32()), *(pa.array(s[:, i]) for i in range(4)), pa.array(b[:, 0]), pa.array(b[:, 1])]
-                yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in kinds.split(", ")])
-
-    return images.select(F.col(key).cast("long"), F.col(column)).mapInArrow(run, kinds)
+        row = TaskContext.get().partitionId() << 40
+        for batch in small(batches, 128):
+            rows = []
+            for key_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key_ is not None and (pixels := decode_pgm(data)) is not None:
+                    spots, bits = describe(pixels)
+                    h = xxhash.xxh3_128_digest(data)
+                    h = [int.from_bytes(h[i : i + 8], "little", signed=True) for i in (0, 8)]
+                    row += 1
+                    rows.append((key_, row, *h, _pack_spots(spots), bits.view(np.int64).ravel()))
+            columns = zip(*rows) if rows else [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "row", "h1", "h2", "spots", "bits"])
+
+    return images.select(F.col(key).cast("long"), F.col(column)).mapInArrow(run, "id long, row long, h1 long, h2 long, spots array<long>, bits array<long>")
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """u, v, n: images that share n >= HITS cells, of which one is the first or the last image.
+
+    A cell is 32 of a descriptor's 128 bits, so there are four Hamming tables. Ends of cells are
+    aggregated before the shuffle; members then meet their cell's two ends, never each other.
+    """
+    low, high = "(b & 4294967295L) << 2", "shiftrightunsigned(b, 32) << 2"
+    cells = f"array_distinct(flatten(transform(bits, (b, i) -> array(({low}) | (i % 2 * 2), ({high}) | (i % 2 * 2 + 1)))))"
+    rows = found.select("id", F.explode(F.expr(cells)).alias("cell"))
+    ends = rows.groupBy("cell").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    met = rows.join(ends, "cell").select("id", F.explode(F.array_distinct(F.array("first", "last"))).alias("q")).where("q <> id")
+    # a cell's two ends meet twice, once from either side; that only raises n for such pairs
+    pairs = met.groupBy(F.least("id", "q").alias("u"), F.greatest("id", "q").alias("v")).agg(F.count("*").alias("n"))
+    return pairs.where(F.col("n") >= HITS)
+
+
+def agree(spots_a, bits_a, spots_b, bits_b) -> bool:
+    """Geometric consensus: CONSENSUS corners, each other's closest within NEAR bits, vote for one scale, turn and shift."""
+    a, b = np.asarray(bits_a, np.int64).reshape(-1, 2), np.asarray(bits_b, np.int64).reshape(-1, 2)
+    if min(len(a), len(b)) < CONSENSUS:
+        return False
+    far = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+    i = np.arange(len(a))
+    j = far.argmin(1)
+    i = i[(far[i, j] <= NEAR) & (far.argmin(0)[j] == i)]
+    if len(i) < CONSENSUS:
+        return False
+    ay, ax, az, at = _unpack_spots(np.asarray(spots_a, np.int64)[i])
+    by, bx, bz, bt = _unpack_spots(np.asarray(spots_b, np.int64)[j[i]])
+    zoom, turn = np.rint((az - bz) * 2) / 2, (bt - at) % (2 * np.pi)
+    steps, size = np.rint(turn * (6 / np.pi)).astype(int) % 12, 2.0**zoom
+    dy = (by - size * (ay * np.cos(turn) + ax * np.sin(turn))) / 24
+    dx = (bx - size * (ax * np.cos(turn) - ay * np.sin(turn))) / 24
+    # two grids of shifts, half a cell apart, so that a border cuts no consensus
+    for off in (0, 0.5):
+        cells = Counter(zip(zoom.tolist(), steps.tolist(), np.floor(dy + off).tolist(), np.floor(dx + off).tolist(), strict=True))
+        if max(cells.values()) >= CONSENSUS:
+            return True
+    return False
+
+
+def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those u, v of pairs whose images agree."""
+    side = lambda k: found.select(F.col("id").alias(k), F.col("spots").alias(f"spots_{k}"), F.col("bits").alias(f"bits_{k}"))
+
+    def run(batches):
+        for batch in small(batches, 256):
+            columns = [batch.column(c) for c in ("spots_u", "bits_u", "spots_v", "bits_v")]
+            good = [agree(*(c[i].values.to_numpy() for c in columns)) for i in range(batch.num_rows)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
 
 
 def match(found: DataFrame) -> DataFrame:
-    """u, v: pairs of images with enough corners in one transform."""
-    edges = [128 * i // TABLES for i in range(TABLES + 1)]
-
-    def part(lo: int, hi: int) -> str:
-        out = []
-        for word, base in (("d0", 0), ("d1", 64)):
-            a, b = max(lo, base) - base, min(hi, base + 64) - base
-            if a < b:
-                mask = ((1 << (b - a)) - 1) << a
-                out.append(f"({word} & {mask - (1 << 64) if mask >> 63 else mask}L)")
-        return f"xxhash64({lo}, {', '.join(out)})"
-
-    keys = ", ".join(part(a, b) for a, b in zip(edges, edges[1:], strict=False))
-    rows = found.withColumn("cell", F.explode(F.expr(f"array({keys})"))).select("cell", F.struct("id", "spot", "y", "x", "scale", "turn", "d0", "d1").alias("p"))
-    first = rows.groupBy("cell").agg(F.min("p").alias("q"), F.max("p.id").alias("last")).where("last <> q.id").select("cell", "q")
-    met = durable(rows.join(first, "cell"))
-    # neighbours are looked for in shares of a cell, so no cell is one task's whole sort
-    share = met.withColumn("share", F.expr("p.id div 4096"))
-    before = Window.partitionBy("cell", "share").orderBy("p.id", "p.spot")
-    near = share.withColumn("q", F.lag("p").over(before)).select("cell", "p", "q")
-    pairs = met.union(near).where("q is not null and p.id <> q.id").select("p", "q").distinct()
-    close = pairs.where("bit_count(p.d0 ^ q.d0) + bit_count(p.d1 ^ q.d1) < " + str(TABLES))
-    two_pi = f"{2 * np.pi}D"
-    vote = close.selectExpr(
-        "least(p.id, q.id) as u", "greatest(p.id, q.id) as v", "if(p.id < q.id, p, q) as a", "if(p.id < q.id, q, p) as b"
-    ).selectExpr(
-        "u", "v", "a.spot as sa", "b.spot as sb", "log2(a.scale / b.scale) as zoom", f"pmod(b.turn - a.turn, {two_pi}) as turn", "a.y as ay", "a.x as ax", "b.y as by", "b.x as bx"
-    ).selectExpr(
-        "u", "v", "sa", "sb", "cast(round(zoom * 2) as int) as zoom", f"cast(round(turn / {two_pi} * 12) as int) % 12 as turn",
-        "by - pow(2D, round(zoom * 2) / 2) * (ay * cos(turn) + ax * sin(turn)) as dy", "bx - pow(2D, round(zoom * 2) / 2) * (ax * cos(turn) - ay * sin(turn)) as dx",
-    )
-    # two grids of shifts, half a cell apart, so that a border cuts no consensus
-    shift = F.explode(F.expr("array(struct(0 as g, floor(dy / 24) as y, floor(dx / 24) as x), struct(1 as g, floor(dy / 24 + 0.5) as y, floor(dx / 24 + 0.5) as x))"))
-    votes = vote.select("u", "v", "zoom", "turn", "sa", "sb", shift.alias("s")).groupBy("u", "v", "zoom", "turn", "s")
-    agreed = votes.agg(F.least(F.count_distinct("sa"), F.count_distinct("sb")).alias("n")).where(F.col("n") >= CONSENSUS)
-    return agreed.select("u", "v").distinct()
+    """u, v: pairs of images that agree and, between them, join all candidates that do.
+
+    Each image is first held against the candidate it shares most cells with; of the other
+    candidates only those need a look whose images are not in one class by then.
+    """
+    pairs = durable(candidates(found))
+    either = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"))
+    best = either.groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    best = durable(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    links = durable(verify(best, found))
+    root = components(links)
+    at = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    rest = pairs.select("u", "v").join(best, ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left")
+    rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    return links.union(verify(rest, found))
 
 
 def image_copies(images: DataFrame, key: str = "image_id", column: str = "image") -> DataFrame:
     """image_id, n_links, class_id, kept: one row per row of images.
 
-    class_id is the smallest image_id reachable by links, n_links the images found linked directly
-    (with the first or the neighbouring image of a table cell; equal bytes link with the class's first
+    class_id is the smallest image_id reachable by links, n_links the links that joined the image to its
+    class directly (pairs already in one class are not all compared; equal bytes link with their first
     image). Null, empty and unreadable bytes are no image and link with nothing, equal or not.
     image_id is the key: repeated rows are one image; a null key is returned, unlinked; extra columns
     are ignored; an empty table gives no rows. Corners are the strongest CORNERS of each scale.
     """
     rows = images.select(F.col(key).cast("long").alias("image_id"), F.col(column).alias("image"))
-    real = rows.where("image_id is not null and length(image) > 0").withColumns({"h1": F.xxhash64("image"), "h2": F.xxhash64(F.lit("image"), "image")})
-    same = durable(real.groupBy("h1", "h2").agg(F.min("image_id").alias("rep"), F.min("image").alias("image")))
-    found = durable(descriptors(same, "rep", "image"))
-    members = real.select("image_id", "h1", "h2").distinct().join(same.select("h1", "h2", "rep"), ["h1", "h2"]).where("image_id <> rep")
-    readable = found.select("id").distinct()
-    equal = members.join(readable, members["rep"] == readable["id"], "left_semi").select(F.col("rep").alias("u"), F.col("image_id").alias("v"))
-    links = durable(match(found).union(equal))
+    found = durable(descriptors(rows, "image_id", "image"))
+    same = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("rep"))
+    same = durable(same.select("h1", "h2", F.col("rep.id").alias("rep"), F.col("rep.row").alias("row")))
+    members = found.select("id", "h1", "h2").join(same, ["h1", "h2"]).where("id <> rep").select("rep", "id").distinct()
+    reps = durable(found.join(same, "row", "left_semi").select("id", "spots", "bits"))
+    links = durable(match(reps).union(members.select(F.col("rep").alias("u"), F.col("id").alias("v"))))
     degree = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("at")).agg(F.count("*").alias("n"))
     roots = components(links)
     return rows.select("image_id").join(degree, F.col("image_id") == degree["at"], "left").join(roots, F.col("image_id") == roots["node"], "left").select(
