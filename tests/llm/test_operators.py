@@ -312,6 +312,17 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_around_a_foreign_middle(spark):
+    rng = random.Random(13)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    head, mid, foot = text(60), text(50), text(70)
+    rows = [(1, head + text(100) + foot), (2, head + text(110) + foot), (3, text(5) + head + text(60) + mid + text(80) + foot), (4, head + text(90) + mid + text(70) + foot)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.source_start, r.source_end) for r in passages.repeated_passages(df).collect()}
+    both = lambda doc, at, end: {(doc, 1, at, at + 60, 0, 60), (doc, 1, end - 70, end, 160, 230)}
+    assert got == both(2, 0, 240) | both(3, 5, 325) | both(4, 0, 340) | {(4, 3, 150, 200, 125, 175)}
+
+
 def test_chains_and_distance_against_brute_force():
     rng = random.Random(10)
     for _ in range(200):
