@@ -323,6 +323,37 @@ def test_passages_around_a_foreign_middle(spark):
     assert got == both(2, 0, 240) | both(3, 5, 325) | both(4, 0, 340) | {(4, 3, 150, 200, 125, 175)}
 
 
+def test_passages_whose_seeds_first_occur_apart(spark):
+    rng = random.Random(14)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    a, b = text(50), text(120)
+    rows = [(1, text(9) + a[:26] + text(30)), (2, text(40) + a[24:] + text(9))]  # parts of a, too short to be reported
+    rows += [(10 + i, text(5) + b[20 * i : 20 * i + 30] + text(5)) for i in range(5)]
+    rows += [(20, text(7) + a + text(60)), (21, text(30) + a), (22, a[:6] + text(3) + a + a[:6]), (30, text(11) + b), (31, b + text(20))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = passages.repeated_passages(df).collect()
+    got = {(r.doc_id, r.source_doc_id): r for r in found}
+    assert set(got) == {(21, 20), (22, 20), (31, 30)}
+    assert [got[k][1:7] for k in ((21, 20), (22, 20))] == [(30, 80, 20, 7, 57, 50), (9, 59, 20, 7, 57, 50)]
+    parts = sorted((r.start_word, r.end_word) for r in found if (r.doc_id, r.source_start - r.start_word) == (31, 11))
+    assert parts[0][0] == 0 and parts[-1][1] == 120 and all(a[1] - b[0] >= 39 for a, b in zip(parts, parts[1:]))
+
+
+def test_every_exact_run_is_in_a_passage(spark):
+    rng = random.Random(15)
+    pool = [["".join(rng.choice("abcd") for _ in range(4)) for _ in range(rng.randint(8, 25))] for _ in range(14)]
+    rows = [(i, [w for _ in range(rng.randint(3, 12)) for w in rng.choice(pool)]) for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    spans = defaultdict(list)
+    for r in passages.repeated_passages(df).collect():
+        spans[r.doc_id].append((r.start_word, r.end_word))
+    seen, n = set(), passages.MIN_WORDS
+    for i, w in rows:
+        own = [(tuple(w[s : s + n]), s) for s in range(len(w) - n + 1)]
+        assert not [s for g, s in own if g in seen and not any(a <= s and s + n <= b for a, b in spans[i])]
+        seen |= {g for g, _ in own}
+
+
 def test_chains_and_distance_against_brute_force():
     rng = random.Random(10)
     for _ in range(200):
