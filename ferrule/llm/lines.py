@@ -4,12 +4,11 @@ Native: DataFrame and SQL functions only.
 
 Each non-blank line becomes an id, and suffixes of the id sequences are ranked by their first
 1, 2, 4, ... ids: the rank of a prefix of length a + b is the rank of the pair (rank of the first
-a ids, rank of the b ids that follow). Ranks are dealt by a range sort, so they are in
-lexicographic order as in a suffix array and need no global window. A prefix that occurs once can
-have no longer repeat and is left out of the next round, so rounds shrink quickly. Suffixes that
-share a rank after m ids are an interval of the suffix array with a longest common prefix of at
-least m; every longer repeated run is a union of such intervals' runs, so the doubling may stop at
-m = min_lines.
+a ids, rank of the b ids that follow). Ranks are dealt by a range sort and need no global window. A
+prefix that occurs once can have no longer repeat and is left out of the next round, so rounds
+shrink quickly. Every longer repeated run is a union of repeated runs of min_lines, so the doubling
+stops there: at two lines after its first step. No suffix array or LCP interval is formed; ranks
+only tell classes apart.
 """
 
 from __future__ import annotations
