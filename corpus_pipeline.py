@@ -35,10 +35,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of near copies stays: the one with the smallest doc_id, null last, then by a hash of id and text.
+
+    Rows of one doc_id, or of none, with different texts are different documents.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = simhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    kept = keyed.select("_key", "doc_id").distinct().join(groups, "_key").groupBy("component_id").agg(F.min(order).alias("best"))
+    rows = keyed.join(kept.select("best._key").distinct(), "_key", "left_semi")
+    return rows.groupBy("_key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row")).select(*[f"row.{c}" for c in COLUMNS])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

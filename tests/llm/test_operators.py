@@ -405,3 +405,12 @@ def test_pipeline(spark, tmp_path):
     assert not docs.where("contains(text, 'ann@x.org')").count()
     for name in stages:
         assert stages[name](spark, empty(spark), str(tmp_path)).count() == 0
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(16)
+    a, b, c, d, e = (prose(rng, 200) for _ in range(5))
+    rows = [(7, a), (7, b), (None, c), (None, d), (None, c), (None, c + " "), (8, a), (9, e), (9, e), (None, e)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert Counter((r.doc_id, r.text.strip()) for r in got) == Counter([(7, a), (7, b), (None, c), (None, d), (9, e)])
