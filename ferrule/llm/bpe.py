@@ -79,10 +79,10 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in small(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, counts, raw = zip(*bpe.encode_parts(text), strict=True) if text else ((), (), ())
-                rows.append((doc, sum(counts), sha(",".join(ids).encode()), sha(b"".join(raw))))
+            for doc, ids, raw in zip(batch.column(0).to_pylist(), *bpe.encode_column(batch.column(1)), strict=True):
+                rows.append((doc, ids.count(",") + 1 if ids else 0, sha(ids.encode()), sha(raw)))
             yield _arrow(rows, schema)
+        bpe.forget()  # the worker may serve other operators next
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -73,6 +73,37 @@ class Generations(dict):
         return value
 
 
+class Memo:
+    """A memo of a function from a list of strings to the list of their values, asked for many keys at a time.
+
+    Two generations as in Generations; keys of `longest` characters on are never kept.
+    """
+
+    def __init__(self, f: Callable[[list], list], size: int, longest: int = 1_000):
+        self.f, self.size, self.longest, self.young, self.old = f, size, longest, {}, {}
+
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
+    def __call__(self, keys: list) -> list:
+        out = list(map(self.young.get, keys))
+        if None not in out:
+            return out
+        extra, fresh = {}, []
+        for k in {k for k, v in zip(keys, out, strict=True) if v is None}:
+            v = self.old.get(k)
+            if v is None:
+                fresh.append(k)
+            else:
+                extra[k] = v
+        extra.update(zip(fresh, self.f(fresh), strict=True))
+        out = [extra[k] if v is None else v for k, v in zip(keys, out, strict=True)]
+        if len(self.young) + len(extra) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update((k, v) for k, v in extra.items() if len(k) < self.longest)
+        return out
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

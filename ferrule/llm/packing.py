@@ -83,8 +83,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
         part, seen, end = TaskContext.get().partitionId(), Counter(), end_id.to_bytes(4, "little")
         for batch in small(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.encode(text) + end
+            every, ends = bpe.encode_column(batch.column(1))
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                ids = every[ends[i] : ends[i + 1]].tobytes() + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     own = ids[4 * start : 4 * (start + capacity)]

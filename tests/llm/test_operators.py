@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ import corpus_pipeline
 import public_tokenizers as P
 from ferrule.llm import bpe, hmm, images, langid, lines, packing, passages, pii, pivots, simhash
 from ferrule.llm.common import components
-from ferrule.llm.tokens import ByteBpe
+from ferrule.llm.tokens import ByteBpe, WordBpe
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and a to in is was for that with on at by from this it as be are river stone green house window paper cloud simple letter bright".split()
@@ -53,7 +54,6 @@ def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
     ids, places = Counter(), defaultdict(list)
@@ -70,6 +70,19 @@ def test_packing(spark, docs, texts):
     assert packing.pack(empty(spark), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_word_bpe_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    full, mine = Tokenizer.from_file(path), WordBpe(path, memo=30)
+    rng = random.Random(21)
+    chars = [chr(c) for c in range(0x21)] + list("\x7f\x85\xa0\u2003\u3000'sS'LLdtreé É̈ßİσΣςǅ0１½²_.,!-😀中<|>ªµ÷×") + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "the ", "House", "don't", "x" * 1200]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + [None, ""]
+    for at in range(0, len(texts), 40):
+        ids, ends = mine.encode_column(pa.array(texts[at : at + 40], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [full.encode(t or "", add_special_tokens=False).ids for t in texts[at : at + 40]]
+
+
 def test_histogram_packing_places_everything():
     rng = random.Random(2)
     for _ in range(50):
@@ -102,7 +115,7 @@ def test_byte_bpe(spark, docs, texts):
     for _ in range(3000):
         x = "".join(rng.choice(" \t\n\x1c\x85\xa0　aAé1²'sd.!😀́中") for _ in range(rng.randint(0, 12)))
         ids = enc.encode_ordinary(x)
-        assert ",".join(g[0] for g in b.encode_parts(x) if g[0]) == ",".join(map(str, ids))
+        assert b.encode_column(pa.array([x])) == ([",".join(map(str, ids))], [x.encode()])
         spans = b.offsets(x)
         assert [s[0] for s in spans] == ids and all(0 <= s < e <= len(x) for _, s, e in spans)
     assert bpe.digests(empty(spark), path, P.PATTERN).count() == 0
