@@ -232,21 +232,68 @@ def test_personal_data_spans(spark):
     rng = random.Random(8)
     rows = ["".join(rng.choice("ab19 .@-+()_%é") for _ in range(rng.randint(0, 50))) for _ in range(800)]
     rows += ["x a.b@c.de, 1.2.3.4, 4111 1111 1111 1111, +1 (555) 123-4567", None, "", "1" * 20_000, "1." * 9_000, "4 " * 9_000, "a@" + "b." * 9_000]
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumns({"terms": F.lit(1), "th": F.lit(2)})
-    for r in pii.personal_data(df).select("doc_id", "spans").collect():
-        if len(rows[r.doc_id] or "") < 1000:
-            assert [(s.start, s.kind, s.end) for s in r.spans] == base_spans(rows[r.doc_id])
-    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert clean[800] == "x [EMAIL], [IP], [CARD], [PHONE]" and clean[801] is None and clean[802] == ""
+    rows += ["see a@b.co now " * 3_000, "é 1.2.3.4 " * 2_000]
+    both = [*enumerate(rows), (800, rows[800]), (801, "also 5.6.7.8"), (None, "z@y.org"), (None, "+1 222 333 4444 55")]
+    df = spark.createDataFrame(both, "doc_id long, text string").withColumns({"terms": F.lit(1), "th": F.lit(2)})
+    found = pii.personal_data(df).select("doc_id", "text", "spans").collect()
+    assert len(found) == len(both) and Counter(r.doc_id for r in found) == Counter(i for i, _ in both)
+    for r in found:
+        assert [(s.start, s.kind, s.end) for s in r.spans] == base_spans(r.text), r.text[:60]
+        assert all(r.text[s.start : s.end] == s.value for s in r.spans)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect() if r.doc_id not in (801, None)}
+    assert clean[800] == "x [EMAIL], [IP], [CARD], [PHONE]" and clean[802] == ""
+    assert clean[807] == "see [EMAIL] now " * 3_000 and clean[808] == "é [IP] " * 2_000
+    assert sorted(str(r.text) for r in pii.sanitise(df).where("doc_id is null or doc_id = 801").collect()) == ["None", "[EMAIL]", "[PHONE]", "also [IP]"]
+    assert pii.sanitise(df).columns == df.columns
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def disclosing(rows, support, kind_support, least):
+    """Brute force: term -> its largest share of documents with one entity."""
+    docs = set(rows)
+    of, words = {}, {}
+    for i, t in docs:
+        found = base_spans(t)
+        of[i, t] = {("v", k, re.sub("[ ().-]+", ".", t[a:b]).lower()) for a, k, b in found} | {("k", k, "") for _, k, _ in found} | ({("a", 0, "")} if found else set())
+        words[i, t] = {w for w in re.findall(r"[^\W_]+", re.sub(SPEC["email"], " ", t).lower()) if len(w) >= 4 and re.search(r"[^\W\d_]", w)}
+    n_t = Counter(w for d in docs for w in words[d])
+    n_te, texts = Counter(), defaultdict(set)
+    for d in docs:
+        for w in words[d]:
+            for e in of[d]:
+                n_te[w, e] += 1
+                texts[w, e].add(d[1])
+    out = {}
+    for (w, e), n in n_te.items():
+        if len(texts[w, e]) >= (support if e[0] == "v" else kind_support) and n / n_t[w] >= least:
+            out[w] = max(out.get(w, 0), n / n_t[w])
+    return out
+
+
 def test_disclosing_terms(spark):
-    near = [(i, f"report {w} by zanzibar kept ann@x.org for the {w} file") for i, w in enumerate(["red", "blue", "green", "black"])]
-    rest = [(10 + i, f"the report was kept on file number {i}x") for i in range(30)]
-    df = spark.createDataFrame(near + rest, "doc_id long, text string")
-    got = {r.doc_id: {df_text[t.start : t.end] for t in r.terms for df_text in [dict(near + rest)[r.doc_id]]} for r in pii.personal_data(df).collect()}
-    assert all(got[i] == {"zanzibar"} for i in range(4)) and not any(got[i] for i in range(10, 40))
+    rng = random.Random(22)
+    values = ["ann@x.org", "bob.b@mail.net", "10.2.3.4", "+1 (555) 123-4567", "4111 1111 1111 1111"]
+    vocabulary = ["zanzibar", "report", "file", "wordword", "tokens", "été4", "1234", "abcd12", "the", "quartz", "phoneline"] + [f"rare{i}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 6))]
+        if "rare7" in text:
+            text.append("ann@x.org")
+        if rng.random() < 0.3 or "quartz" in text:
+            text += [rng.choice(values[:2] if "zanzibar" in text else values), rng.choice(["phoneline", "Zanzibar", "calls"])]
+        rows.append((i % 350, " ".join(text)))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = disclosing(rows, pii.SUPPORT, pii.KIND_SUPPORT, pii.GENERALISE)
+    assert {"calls", "quartz", "rare7"} <= set(want)
+    for r in pii.personal_data(df).collect():
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", r.text) if m[0].lower() in want]
+        assert sorted((t.start, t.end) for t in r.terms) == spans
+        assert all(t.share == pytest.approx(want[r.text[t.start : t.end].lower()]) for t in r.terms)
+    near = [(i, f"report {w} by zanzibar kept ann@x.org for the {w} file, wordword") for i, w in enumerate(["red", "blue", "green", "black"])]
+    rest = [(10 + i, f"the report was kept on file number {i}x, wordwordy") for i in range(30)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(near + rest, "doc_id long, text string")).collect()}
+    assert clean[0] == "report red by  kept [EMAIL] for the red file, " and all(clean[i] == t for i, t in rest)
 
 
 def test_hmm(spark, docs, texts, monkeypatch):
