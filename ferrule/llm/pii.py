@@ -108,7 +108,7 @@ def disclosing_terms(keyed: DataFrame, held: DataFrame, base: DataFrame, support
     """term, share, kind: each term that gives an entity away, with its largest share and the kind of that entity (ANY: of any kind).
 
     held: the texts with personal data, base: their spans. Document frequencies are counted over all
-    documents, partially in each task. A term's share of the documents with any personal data bounds
+    documents, repeated rows as often as they occur, partially in each task. A term's share of the documents with any personal data bounds
     its share of those with one entity; only terms that reach `generalise` by it are held against entities.
     """
     value = F.concat_ws(":", "kind", F.lower(F.regexp_replace("value", "[ ().-]+", ".")))
@@ -117,15 +117,15 @@ def disclosing_terms(keyed: DataFrame, held: DataFrame, base: DataFrame, support
     entities = durable(base.select(*KEY, F.explode(levels).alias("e")).select(*KEY, "e.*").distinct())
     least = F.when(F.col("level") == 0, support).otherwise(kind_support)
     often = entities.groupBy("level", "kind", "entity", "th").agg(F.lit(1).alias("one")).groupBy("level", "kind", "entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
-    words = durable(held.select(*KEY, F.explode(_terms_of("text")).alias("term")).distinct())
-    inside = words.groupBy("term").agg(F.count("*").alias("m")).where(F.col("m") >= support)
+    words = durable(held.select(*KEY, F.explode(_terms_of("text")).alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("rows")))
+    inside = words.groupBy("term").agg(F.sum("rows").alias("m")).where(F.col("m") >= support)
     counted = keyed.select(F.explode(_terms_of("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     able = counted.join(inside, "term").where(F.col("m") / F.col("n_t") >= generalise)
     able = durable(able.select("term", "n_t"))
     beside = words.join(_sized(able.select("term")), "term")
     known = entities.join(_sized(durable(often.select("level", "kind", "entity"))), ["level", "kind", "entity"])
     both = beside.alias("w").join(known.alias("e"), F.expr("w.doc_id <=> e.doc_id and w.th = e.th"))
-    by_text = both.groupBy("e.level", "e.kind", "e.entity", "w.term", "w.th").agg(F.count("*").alias("n"))
+    by_text = both.groupBy("e.level", "e.kind", "e.entity", "w.term", "w.th").agg(F.sum("w.rows").alias("n"))
     pairs = by_text.groupBy("level", "kind", "entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= least)
     shares = pairs.join(_sized(able), "term").withColumn("share", F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)))
     best = F.max(F.struct("share", (-F.col("level")).alias("close"), (-F.col("kind")).alias("kind"))).alias("best")

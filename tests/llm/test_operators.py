@@ -250,7 +250,7 @@ def test_personal_data_spans(spark):
 
 def disclosing(rows, support, kind_support, least):
     """Brute force: term -> its largest share of documents with one entity."""
-    docs = set(rows)
+    docs = rows
     of, words = {}, {}
     for i, t in docs:
         found = base_spans(t)
