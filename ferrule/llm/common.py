@@ -44,6 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows, of under 64 bytes each, that are broadcast at most.
+SMALL = 20_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A durable table of small rows, to be broadcast if it has SMALL rows at most and joined by a shuffle otherwise."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def small(batches, rows: int = 512):
     """Arrow batches cut to few rows, so that a task turns a part of a batch into Python objects at a time."""
     for batch in batches:

@@ -1,10 +1,14 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Each image is scanned at several scales for corners (Harris), each corner gets an orientation (the
-intensity centroid around it) and 128 binary intensity tests turned by it. Images meet through
-Hamming tables: 128 bits in four parts, of which two descriptors share one at least when at most
-three bits differ. An image meets the first and the last image of each cell, not all, so n copies
-make about 2n candidates a corner. Candidates that share HITS cells are held against each other by
+intensity centroid around it) and 128 binary intensity tests turned by it. The Hamming tables' cells hold a
+corner together with one of its nearest corners: 128 bits in four parts, of which two descriptors share
+one at least when at most three bits differ; a cell is one part of both corners. Alone, 32 bits
+are shared by too many strangers; two corners side by side rarely are.
+
+Candidates are all pairs of images that share HITS cells, found in two rounds so that n copies don't make
+n * n pairs: first each image is held against the first image of its cells with which it shares most; then,
+cell by cell, all pairs of images that are not in one class by then. Candidates are held against each other by
 all their descriptors: matches vote for a similarity transform, CONSENSUS corners in one cell of
 scale, turn and shift make a link.
 """
@@ -20,9 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import components, durable, small, table
+from ferrule.llm.common import components, durable, sized, small, table
 
-SCALES, CORNERS, RADIUS, TESTS, HITS, NEAR, CONSENSUS = (1.0, 0.75, 0.5), 20, 7, 128, 6, 16, 6
+SCALES, CORNERS, RADIUS, TESTS, HITS, NEAR, CONSENSUS = (1.0, 0.8, 0.64, 0.512), 20, 7, 128, 3, 16, 6
+#: Neighbours that a corner is paired with; pixels for which an image has CORNERS corners a scale.
+BESIDE, AREA = 2, 128 * 128
 TURNS = 32
 
 
@@ -87,8 +93,12 @@ def resize(x: np.ndarray, scale: float) -> np.ndarray:
 
 
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n x 4: y, x, scale, turn in radians, in the whole image's pixels; n x 2 unsigned longs): at most CORNERS a scale."""
+    """(n x 4: y, x, scale, turn in radians, in the whole image's pixels; n x 2 unsigned longs).
+
+    The strongest corners of each scale: CORNERS for each AREA of the image.
+    """
     spots, bits = [], []
+    most = CORNERS * max(1, round(pixels.size / AREA))
     for scale in SCALES:
         x = resize(pixels, scale) if scale != 1 else pixels
         r = RADIUS
@@ -106,7 +116,7 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y, z = np.nonzero((inner > top) & (inner > 1.0))
         if not len(y):
             continue
-        strongest = np.argsort(-inner[y, z], kind="stable")[:CORNERS]
+        strongest = np.argsort(-inner[y, z], kind="stable")[:most]
         y, z = y[strongest] + r, z[strongest] + r
         d = np.arange(-r, r + 1)
         disc = (d[:, None] ** 2 + d[None, :] ** 2) <= r * r
@@ -136,8 +146,29 @@ def _unpack_spots(packed: np.ndarray) -> tuple[np.ndarray, ...]:
     return (packed >> 32) / 4, (packed >> 12 & 0xFFFFF) / 4, np.log2(SCALES)[packed >> 10 & 3], (packed & 1023) * (2 * np.pi / 1024)
 
 
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+
+
+def cells(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The image's cells, each once: a hash of one part of a corner's bits and the same part of a near corner's of its scale."""
+    part = bits.view(np.uint32).reshape(-1, 4)
+    out = [np.zeros((0, 4), np.uint64)]
+    for scale in np.unique(spots[:, 2]) if len(spots) else ():
+        own = np.flatnonzero(spots[:, 2] == scale)
+        k = min(BESIDE, len(own) - 1)
+        for lo in range(0, len(own) if k > 0 else 0, 512):
+            at = own[lo : lo + 512]
+            far = ((spots[at, None, :2] - spots[None, own, :2]) ** 2).sum(axis=2)
+            far[np.arange(len(at)), np.arange(lo, lo + len(at))] = np.inf
+            a, b = np.repeat(part[at], k, axis=0), part[own[np.argpartition(far, k - 1, axis=1)[:, :k].ravel()]]
+            h = np.minimum(a, b).astype(np.uint64) << np.uint64(32) | np.maximum(a, b)
+            h = (h ^ (h >> np.uint64(29))) * _MIX[0] + np.arange(4, dtype=np.uint64) * _MIX[1]
+            out.append((h ^ (h >> np.uint64(32))) * _MIX[1])
+    return np.unique(np.concatenate(out).ravel()).view(np.int64)
+
+
 def descriptors(images: DataFrame, key: str = "image_id", column: str = "image") -> DataFrame:
-    """id, row (unlike any other's), h1, h2 (128 bits of a hash of the bytes), spots (a long a corner), bits (two longs a corner); only what is an image has a row."""
+    """id, row (unlike any other's), h1, h2 (128 bits of a hash of the bytes), spots (a long a corner), bits (two longs a corner), cells; only what is an image has a row."""
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -149,28 +180,12 @@ def descriptors(images: DataFrame, key: str = "image_id", column: str = "image")
                     h = xxhash.xxh3_128_digest(data)
                     h = [int.from_bytes(h[i : i + 8], "little", signed=True) for i in (0, 8)]
                     row += 1
-                    rows.append((key_, row, *h, _pack_spots(spots), bits.view(np.int64).ravel()))
-            columns = zip(*rows) if rows else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "row", "h1", "h2", "spots", "bits"])
-
-    return images.select(F.col(key).cast("long"), F.col(column)).mapInArrow(run, "id long, row long, h1 long, h2 long, spots array<long>, bits array<long>")
-
+                    rows.append((key_, row, *h, _pack_spots(spots), bits.view(np.int64).ravel(), cells(spots, bits)))
+            columns = zip(*rows) if rows else [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "row", "h1", "h2", "spots", "bits", "cells"])
 
-def candidates(found: DataFrame) -> DataFrame:
-    """u, v, n: images that share n >= HITS cells, of which one is the first or the last image.
-
-    A cell is 32 of a descriptor's 128 bits, so there are four Hamming tables. Ends of cells are
-    aggregated before the shuffle; members then meet their cell's two ends, never each other.
-    """
-    low, high = "(b & 4294967295L) << 2", "shiftrightunsigned(b, 32) << 2"
-    cells = f"array_distinct(flatten(transform(bits, (b, i) -> array(({low}) | (i % 2 * 2), ({high}) | (i % 2 * 2 + 1)))))"
-    rows = found.select("id", F.explode(F.expr(cells)).alias("cell"))
-    ends = rows.groupBy("cell").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    met = rows.join(ends, "cell").select("id", F.explode(F.array_distinct(F.array("first", "last"))).alias("q")).where("q <> id")
-    # a cell's two ends meet twice, once from either side; that only raises n for such pairs
-    pairs = met.groupBy(F.least("id", "q").alias("u"), F.greatest("id", "q").alias("v")).agg(F.count("*").alias("n"))
-    return pairs.where(F.col("n") >= HITS)
+    return images.select(F.col(key).cast("long"), F.col(column)).mapInArrow(run, "id long, row long, h1 long, h2 long, spots array<long>, bits array<long>, cells array<long>")
 
 
 def agree(spots_a, bits_a, spots_b, bits_b) -> bool:
@@ -178,15 +193,19 @@ def agree(spots_a, bits_a, spots_b, bits_b) -> bool:
     a, b = np.asarray(bits_a, np.int64).reshape(-1, 2), np.asarray(bits_b, np.int64).reshape(-1, 2)
     if min(len(a), len(b)) < CONSENSUS:
         return False
-    far = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
-    i = np.arange(len(a))
-    j = far.argmin(1)
-    i = i[(far[i, j] <= NEAR) & (far.argmin(0)[j] == i)]
+    i, j, least = np.arange(len(a)), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    back, best = np.zeros(len(b), np.int64), np.full(len(b), 1 << 10)
+    for lo in range(0, len(a), 512):  # large pictures have many corners
+        far = np.bitwise_count(a[lo : lo + 512, None, 0] ^ b[None, :, 0]).astype(np.int64) + np.bitwise_count(a[lo : lo + 512, None, 1] ^ b[None, :, 1])
+        j[lo : lo + 512], least[lo : lo + 512] = far.argmin(1), far.min(1)
+        low = far.min(0)
+        back, best = np.where(low < best, lo + far.argmin(0), back), np.minimum(low, best)
+    i = i[(least <= NEAR) & (back[j] == i)]
     if len(i) < CONSENSUS:
         return False
     ay, ax, az, at = _unpack_spots(np.asarray(spots_a, np.int64)[i])
     by, bx, bz, bt = _unpack_spots(np.asarray(spots_b, np.int64)[j[i]])
-    zoom, turn = np.rint((az - bz) * 2) / 2, (bt - at) % (2 * np.pi)
+    zoom, turn = np.rint((az - bz) * 3) / 3, (bt - at) % (2 * np.pi)
     steps, size = np.rint(turn * (6 / np.pi)).astype(int) % 12, 2.0**zoom
     dy = (by - size * (ay * np.cos(turn) + ax * np.sin(turn))) / 24
     dx = (bx - size * (ax * np.cos(turn) - ay * np.sin(turn))) / 24
@@ -214,41 +233,48 @@ def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def match(found: DataFrame) -> DataFrame:
     """u, v: pairs of images that agree and, between them, join all candidates that do.
 
-    Each image is first held against the candidate it shares most cells with; of the other
-    candidates only those need a look whose images are not in one class by then.
+    Each image is first held against the first member of its cells with which it shares most of them. Then all
+    pairs of a cell's members in different classes are counted: in a cell full of copies only members outside
+    the class of its first one meet the others, so copies cost one row each.
     """
-    pairs = durable(candidates(found))
-    either = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"))
-    best = either.groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-    best = durable(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = durable(verify(best, found))
-    root = components(links)
+    rows = found.select("id", F.explode("cells").alias("cell"))
+    first = rows.groupBy("cell").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("cell", "hub")
+    shared = durable(rows.join(first, "cell"))
+    hubs = shared.where("id <> hub").groupBy("hub", "id").agg(F.count("*").alias("n")).where(F.col("n") >= HITS)
+    best = hubs.groupBy("id").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("best.hub").alias("u"), F.col("id").alias("v"))
+    links = durable(verify(durable(best), found))
+    root = sized(durable(components(links)))
     at = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    rest = pairs.select("u", "v").join(best, ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left")
-    rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    return links.union(verify(rest, found))
+    classed = shared.join(at("id"), "id", "left").join(at("hub"), "hub", "left")
+    classed = classed.select("cell", "id", F.coalesce("root_id", "id").alias("own"), F.coalesce("root_hub", "hub").alias("major"))
+    strangers = classed.where("own <> major").select("cell", F.col("id").alias("x"), F.col("own").alias("own_x"))
+    met = strangers.join(classed, "cell").where("own <> own_x and (own = major or own_x < own)")
+    pairs = met.groupBy(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= HITS)
+    return links.union(verify(durable(pairs.select("u", "v")), found))
 
 
 def image_copies(images: DataFrame, key: str = "image_id", column: str = "image") -> DataFrame:
-    """image_id, n_links, class_id, kept: one row per row of images.
+    """image_id, n_joined, class_id, kept: one row per row of images.
 
-    class_id is the smallest image_id reachable by links, n_links the links that joined the image to its
-    class directly (pairs already in one class are not all compared; equal bytes link with their first
+    class_id is the smallest image_id reachable by links, n_joined how many of the links that were verified hold
+    the image (pairs already in one class are not all compared; equal bytes link with their first
     image). Null, empty and unreadable bytes are no image and link with nothing, equal or not.
     image_id is the key: repeated rows are one image; a null key is returned, unlinked; extra columns
-    are ignored; an empty table gives no rows. Corners are the strongest CORNERS of each scale.
+    are ignored; an empty table gives no rows. Memory and work of an image are linear in its pixels, but for the
+    comparison of two images' corners, which takes blocks of bounded size.
     """
     rows = images.select(F.col(key).cast("long").alias("image_id"), F.col(column).alias("image"))
-    found = durable(descriptors(rows, "image_id", "image"))
+    # descriptors cost far more than the shuffle of the pictures; files alone would make few tasks of many pictures
+    found = durable(descriptors(rows.repartition("image_id"), "image_id", "image"))
     same = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("rep"))
     same = durable(same.select("h1", "h2", F.col("rep.id").alias("rep"), F.col("rep.row").alias("row")))
     members = found.select("id", "h1", "h2").join(same, ["h1", "h2"]).where("id <> rep").select("rep", "id").distinct()
-    reps = durable(found.join(same, "row", "left_semi").select("id", "spots", "bits"))
+    reps = durable(found.join(same, "row", "left_semi").select("id", "spots", "bits", "cells"))
     links = durable(match(reps).union(members.select(F.col("rep").alias("u"), F.col("id").alias("v"))))
     degree = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("at")).agg(F.count("*").alias("n"))
     roots = components(links)
     return rows.select("image_id").join(degree, F.col("image_id") == degree["at"], "left").join(roots, F.col("image_id") == roots["node"], "left").select(
-        "image_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "image_id").alias("class_id"),
+        "image_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_joined"), F.coalesce("root", "image_id").alias("class_id"),
         F.col("image_id").eqNullSafe(F.coalesce("root", "image_id")).alias("kept"),
     )
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import durable, table
+from ferrule.llm.common import durable, sized, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the contract's patterns: the same leftmost matches, without recursion or retries on long runs.
@@ -32,8 +32,6 @@ SUPPORT, KIND_SUPPORT, GENERALISE, REMOVE = 3, 20, 0.7, 0.95
 #: A word, and what lies between words; terms are whole words of LETTERS characters on, one of them a letter.
 WORD, GAPS, LETTERS = r"[\p{L}\p{M}\p{N}]+", r"[^\p{L}\p{M}\p{N}]+", 4
 TERM, ANY = len(KINDS), len(KINDS)
-#: Rows of a table of terms or of document keys (under 64 bytes each) that are broadcast at most; larger ones are shuffled.
-SMALL = 20_000
 KEY = ["doc_id", "th"]
 SPAN = "struct<start: int, end: int, kind: int, value: string>"
 TERM_SPAN = "struct<start: int, end: int, share: double, kind: int>"
@@ -99,11 +97,6 @@ def _terms_of(text: str) -> Column:
     return F.expr(f"filter(array_distinct(split(lower({plain}), r'{GAPS}')), x -> length(x) >= {LETTERS} and rlike(x, r'\\p{{L}}'))")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A durable table, to be broadcast if it has SMALL rows at most."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def disclosing_terms(keyed: DataFrame, held: DataFrame, base: DataFrame, support: int = SUPPORT, kind_support: int = KIND_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """term, share, kind: each term that gives an entity away, with its largest share and the kind of that entity (ANY: of any kind).
 
@@ -122,12 +115,12 @@ def disclosing_terms(keyed: DataFrame, held: DataFrame, base: DataFrame, support
     counted = keyed.select(F.explode(_terms_of("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     able = counted.join(inside, "term").where(F.col("m") / F.col("n_t") >= generalise)
     able = durable(able.select("term", "n_t"))
-    beside = words.join(_sized(able.select("term")), "term")
-    known = entities.join(_sized(durable(often.select("level", "kind", "entity"))), ["level", "kind", "entity"])
+    beside = words.join(sized(able.select("term")), "term")
+    known = entities.join(sized(durable(often.select("level", "kind", "entity"))), ["level", "kind", "entity"])
     both = beside.alias("w").join(known.alias("e"), F.expr("w.doc_id <=> e.doc_id and w.th = e.th"))
     by_text = both.groupBy("e.level", "e.kind", "e.entity", "w.term", "w.th").agg(F.sum("w.rows").alias("n"))
     pairs = by_text.groupBy("level", "kind", "entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= least)
-    shares = pairs.join(_sized(able), "term").withColumn("share", F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)))
+    shares = pairs.join(sized(able), "term").withColumn("share", F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)))
     best = F.max(F.struct("share", (-F.col("level")).alias("close"), (-F.col("kind")).alias("kind"))).alias("best")
     strong = shares.where(F.col("share") >= generalise).groupBy("term").agg(best)
     return durable(strong.select("term", F.col("best.share").alias("share"), (-F.col("best.kind")).alias("kind")))
@@ -135,9 +128,9 @@ def disclosing_terms(keyed: DataFrame, held: DataFrame, base: DataFrame, support
 
 def _term_rows(keyed: DataFrame, strong: DataFrame) -> DataFrame:
     """doc_id, th, start, end, share, kind of every occurrence of the terms in all documents."""
-    near = _sized(strong)
+    near = sized(strong)
     where = durable(keyed.select(*KEY, F.explode(_terms_of("text")).alias("term")).join(near.select("term"), "term", "left_semi").select(*KEY).distinct())
-    texts = keyed.alias("d").join(_sized(where).alias("w"), F.expr("d.doc_id <=> w.doc_id and d.th = w.th"), "left_semi")
+    texts = keyed.alias("d").join(sized(where).alias("w"), F.expr("d.doc_id <=> w.doc_id and d.th = w.th"), "left_semi")
     rows = _located(texts.select(*KEY, F.explode(_pieces(TERM, WORD)).alias("piece"))).drop("kind")
     return rows.withColumn("term", F.lower("value")).join(near, "term").select(*KEY, "start", "end", "share", "kind")
 

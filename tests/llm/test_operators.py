@@ -449,6 +449,31 @@ def test_image_copies(spark):
     assert images.image_copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+def test_edited_copies_are_found(spark):
+    """Recall of edits among many textures with few distinct corners, against all pairs by agree()."""
+    rng = np.random.default_rng(6)
+    rows, n = [], 40
+    for k in range(n):
+        b = images._box(np.kron(rng.integers(0, 255, (12, 12)).astype(float), np.ones((12, 12))), 1)
+        edits = (b, b[20:128, 10:120], images.resize(b, 0.8), images.resize(b, 0.7), np.clip(b * 0.8 + 20, 0, 255), b + rng.normal(0, 4, b.shape), np.rot90(b).copy())
+        rows += [(10 * k + i, images.encode_pgm(x)) for i, x in enumerate(edits)]
+    twice = [*rows, rows[3], (None, rows[4][1])]
+    df = spark.createDataFrame(twice, "image_id long, image binary").withColumns({"cell": F.lit(1), "hub": F.lit(2)})
+    out = images.image_copies(df).collect()
+    assert len(out) == len(twice) and [r.class_id for r in out if r.image_id is None] == [None]
+    got = {r.image_id: r.class_id for r in out}
+    described = {}
+    for i, data in rows:
+        spots, bits = images.describe(images.decode_pgm(data))
+        described[i] = images._pack_spots(spots), bits.view(np.int64).ravel()
+    for e in range(1, 7):
+        true = [k for k in range(n) if images.agree(*described[10 * k], *described[10 * k + e])]
+        assert sum(got[10 * k] == got[10 * k + e] for k in true) >= 0.9 * len(true) and len(true) >= (0.9 if e != 3 else 0) * n, e
+    for i, j in {(i, got[i]) for i, _ in rows if got[i] // 10 != i // 10}:
+        members = [m for m, c in got.items() if c == j and m is not None]
+        assert any(images.agree(*described[a], *described[b]) for a in members for b in members if a // 10 != b // 10)
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(12)
     rows = [(i, "\n".join(prose(rng, 60) for _ in range(4)), "en", "s", 0) for i in range(30)]
