@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import components, durable, sized, small, table
 
-SCALES, CORNERS, RADIUS, TESTS, HITS, NEAR, CONSENSUS = (1.0, 0.8, 0.64, 0.512), 20, 7, 128, 3, 16, 6
+SCALES, CORNERS, RADIUS, TESTS, HITS, NEAR, CONSENSUS = (1.0, 0.8, 0.64, 0.512), 14, 7, 128, 3, 16, 6
 #: Neighbours that a corner is paired with; pixels for which an image has CORNERS corners a scale.
 BESIDE, AREA = 2, 128 * 128
 TURNS = 32
@@ -168,7 +168,7 @@ def cells(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def descriptors(images: DataFrame, key: str = "image_id", column: str = "image") -> DataFrame:
-    """id, row (unlike any other's), h1, h2 (128 bits of a hash of the bytes), spots (a long a corner), bits (two longs a corner), cells; only what is an image has a row."""
+    """id, row (unlike any other's), h1, h2 (128 bits of a hash of the bytes), spots (a long a corner), bits (two longs a corner); only what is an image has a row."""
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -180,12 +180,28 @@ def descriptors(images: DataFrame, key: str = "image_id", column: str = "image")
                     h = xxhash.xxh3_128_digest(data)
                     h = [int.from_bytes(h[i : i + 8], "little", signed=True) for i in (0, 8)]
                     row += 1
-                    rows.append((key_, row, *h, _pack_spots(spots), bits.view(np.int64).ravel(), cells(spots, bits)))
-            columns = zip(*rows) if rows else [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "row", "h1", "h2", "spots", "bits", "cells"])
+                    rows.append((key_, row, *h, _pack_spots(spots), bits.view(np.int64).ravel()))
+            columns = zip(*rows) if rows else [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "row", "h1", "h2", "spots", "bits"])
 
-    return images.select(F.col(key).cast("long"), F.col(column)).mapInArrow(run, "id long, row long, h1 long, h2 long, spots array<long>, bits array<long>, cells array<long>")
+    return images.select(F.col(key).cast("long"), F.col(column)).mapInArrow(run, "id long, row long, h1 long, h2 long, spots array<long>, bits array<long>")
+
+
+def cell_rows(found: DataFrame) -> DataFrame:
+    """id, cell of found(id, spots, bits)."""
+
+    def run(batches):
+        for batch in small(batches, 256):
+            ids, every = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, id_ in enumerate(batch.column(0).to_pylist()):
+                y, x, scale, _ = _unpack_spots(batch.column(1)[i].values.to_numpy())
+                own = cells(np.stack([y, x, scale], axis=1), batch.column(2)[i].values.to_numpy().reshape(-1, 2))
+                ids.append(np.full(len(own), id_))
+                every.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, every)], ["id", "cell"])
+
+    return found.select("id", "spots", "bits").mapInArrow(run, "id long, cell long")
 
 
 def agree(spots_a, bits_a, spots_b, bits_b) -> bool:
@@ -237,7 +253,7 @@ def match(found: DataFrame) -> DataFrame:
     pairs of a cell's members in different classes are counted: in a cell full of copies only members outside
     the class of its first one meet the others, so copies cost one row each.
     """
-    rows = found.select("id", F.explode("cells").alias("cell"))
+    rows = cell_rows(found)
     first = rows.groupBy("cell").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("cell", "hub")
     shared = durable(rows.join(first, "cell"))
     hubs = shared.where("id <> hub").groupBy("hub", "id").agg(F.count("*").alias("n")).where(F.col("n") >= HITS)
@@ -264,12 +280,11 @@ def image_copies(images: DataFrame, key: str = "image_id", column: str = "image"
     comparison of two images' corners, which takes blocks of bounded size.
     """
     rows = images.select(F.col(key).cast("long").alias("image_id"), F.col(column).alias("image"))
-    # descriptors cost far more than the shuffle of the pictures; files alone would make few tasks of many pictures
-    found = durable(descriptors(rows.repartition("image_id"), "image_id", "image"))
+    found = durable(descriptors(rows, "image_id", "image"))
     same = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("rep"))
     same = durable(same.select("h1", "h2", F.col("rep.id").alias("rep"), F.col("rep.row").alias("row")))
     members = found.select("id", "h1", "h2").join(same, ["h1", "h2"]).where("id <> rep").select("rep", "id").distinct()
-    reps = durable(found.join(same, "row", "left_semi").select("id", "spots", "bits", "cells"))
+    reps = durable(found.join(same, "row", "left_semi").select("id", "spots", "bits"))
     links = durable(match(reps).union(members.select(F.col("rep").alias("u"), F.col("id").alias("v"))))
     degree = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("at")).agg(F.count("*").alias("n"))
     roots = components(links)
@@ -311,5 +326,6 @@ def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
                 pictures = [render(v) for v in batch.column(1)[lo : lo + 512].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 512], pa.array(pictures, pa.binary())], ["image_id", "image"])
 
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # describing a picture costs far more than the shuffle of its vector; the file alone would make few tasks of many
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")
     return image_copies(vectors.mapInArrow(run, "image_id long, image binary"))
