@@ -372,6 +372,15 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_of_texts_under_one_id(spark):
+    rng = random.Random(23)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b = text(60), text(60)
+    rows = [(1, a), (1, b), (1, a), (2, a + " " + text(5)), (3, text(5) + " " + b), (None, a), (None, b)]
+    got = [{(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and got[0] in ({(2, 1)}, {(3, 1)})
+
+
 def test_passages_around_a_foreign_middle(spark):
     rng = random.Random(13)
     text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
