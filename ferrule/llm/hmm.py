@@ -6,8 +6,11 @@ shared class a word has its add-one share of the class's training tokens. So the
 text a probability, unseen words included, while its parameters keep a fixed size; the counts of
 words, which grow with the corpus, stay distributed.
 
-Training: Baum-Welch; each task sums the expected counts of its texts, Spark adds them up, and the
-driver sees one table of states x classes. Scoring: the scaled forward recursion over whole texts.
+Training: Baum-Welch over whole texts; each task sums the expected counts of its texts, Spark adds them up, and
+the driver sees one table of states x classes a round. The first model's states are far apart and seldom left, so
+that a text's words add up in favour of one of them; rounds end when the likelihood hardly grows. Long texts are
+worked on in segments side by side, joined exactly by the product of the moves through each.
+Scoring: the scaled forward recursion over whole texts.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from ferrule.llm.common import durable, small, table
 from ferrule.llm.langid import held_out
 from ferrule.llm.simhash import LOWER
 
-OWN, BUCKETS, STATES, ROUNDS, SEGMENT = 4096, 1024, 6, 3, 128
+OWN, BUCKETS, STATES, SEGMENT = 4096, 1024, 6, 128
+#: Rounds at most; training ends before if the log10 likelihood of a token gains less than GAIN. How likely a state of the first model stays.
+ROUNDS, GAIN, STAY = 3, 0.004, 0.98
 #: Words whose counts every task holds; the counts of all others are joined.
 NEAR = 1 << 16
 #: The key of the end of a text; no word holds a line feed.
@@ -122,15 +127,10 @@ class Hmm:
     def first(cls, unigram: np.ndarray, states: int = STATES, seed: int = 7) -> Hmm:
         rng = np.random.default_rng(seed)
         p = (unigram + 0.5) / (unigram + 0.5).sum()
-        emits = p[:, None] * (0.2 + rng.random((len(p), states)))
-        moves = 0.2 + rng.random((states, states)) + np.eye(states)
-        return cls(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
-
-    def resting(self) -> np.ndarray:
-        p = self.start
-        for _ in range(64):
-            p = p @ self.moves
-        return p
+        emits = p[:, None] * (0.05 + rng.exponential(size=(len(p), states)))
+        moves = np.full((states, states), (1 - STAY) / max(states - 1, 1))
+        np.fill_diagonal(moves, STAY if states > 1 else 1.0)
+        return cls(np.full(states, 1 / states), moves, emits / emits.sum(0))
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """The exact log10 likelihood of whole symbol sequences; texts still running at a step are one matrix."""
@@ -152,52 +152,88 @@ class Hmm:
         out[order] = log
         return out
 
+    def _through(self, blocks: list, count: int, many: np.ndarray) -> np.ndarray:
+        """Per segment, if of a text with many, the product of its moves and emissions, up to a factor: state before it x state at its end."""
+        size = len(self.start)
+        out = np.empty((count, size, size))
+        for which, obs, running, top in blocks:
+            if many[which].any():
+                m = np.where(top[:, None, None], self.start, self.moves) * self.emits[obs[0]][:, None, :]
+                for t, k in enumerate(running.tolist()):
+                    if t:
+                        m[:k] = (m[:k].reshape(-1, size) @ self.moves).reshape(k, size, size) * self.emits[obs[t, :k]][:, None, :]
+                    if t % 8 == 7 or t + 1 == len(running):
+                        m /= m.sum(axis=(1, 2), keepdims=True)
+                out[which] = m
+        return out
+
+    def _joined(self, blocks: list, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment the distribution of the state before it, and how likely the rest of its text is by the state at its end."""
+        k, count = len(self.start), int(parts.sum())
+        before, after = np.full((count, k), 1 / k), np.ones((count, k))
+        if parts.max(initial=1) > 1:
+            through, first = self._through(blocks, count, np.repeat(parts > 1, parts)), np.cumsum(parts) - parts
+            for j in range(1, int(parts.max())):
+                at = first[parts > j] + j
+                x = (before[at - 1, None, :] @ through[at - 1])[:, 0]
+                before[at] = x / x.sum(axis=1, keepdims=True)
+            for j in range(int(parts.max()) - 1, 0, -1):
+                at = first[parts > j] + j
+                x = (through[at] @ after[at, :, None])[:, :, 0]
+                after[at - 1] = x / x.max(axis=1, keepdims=True)
+        return before, after
+
     def expected(self, texts: list[np.ndarray], segment: int = SEGMENT) -> np.ndarray:
-        """Expected counts of starts, moves and emissions, flattened, over segments of every text."""
+        """Expected counts of starts, moves and emissions over whole texts, flattened; then their log10 likelihood and number of symbols."""
         k, v = len(self.start), len(self.emits)
-        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, v))
+        starts, moves, emits, log = np.zeros(k), np.zeros((k, k)), np.zeros((k, v)), 0.0
+        texts = [t for t in texts if len(t)]
         cut = [(t[i : i + segment], i == 0) for t in texts for i in range(0, len(t), segment)]
-        cut.sort(key=lambda x: -len(x[0]))
-        rest = self.resting()
-        for block in range(0, len(cut), 1024):
-            part = cut[block : block + 1024]
-            n = np.array([len(s) for s, _ in part], np.int64)
-            top = np.array([f for _, f in part])
-            obs = np.zeros((int(n[0]), len(part)), np.int64)
-            for j, (s, _) in enumerate(part):
-                obs[: len(s), j] = s
-            running = np.searchsorted(-n, -np.arange(n[0]), side="left")
+        parts = np.array([-(-len(t) // segment) for t in texts], np.int64)
+        alone = np.repeat(parts == 1, parts)
+        order, blocks = np.array(sorted(range(len(cut)), key=lambda i: (-len(cut[i][0]), alone[i])), np.int64), []
+        for lo in range(0, len(cut), 1024):
+            which = order[lo : lo + 1024]
+            n = np.array([len(cut[i][0]) for i in which], np.int64)
+            obs = np.zeros((int(n[0]), len(which)), np.int64)
+            for j, i in enumerate(which):
+                obs[: n[j], j] = cut[i][0]
+            running = np.searchsorted(-n, -np.arange(n[0]), side="left")  # with more than t symbols
+            blocks.append((which, obs, running, np.array([cut[i][1] for i in which])))
+        before, after = self._joined(blocks, parts)
+        for which, obs, running, top in blocks:
             e = self.emits[obs]
             alpha, scale = np.empty_like(e), np.ones(obs.shape)
-            alpha[0] = np.where(top[:, None], self.start, rest) * e[0]
-            for t in range(int(n[0])):
-                m = int(running[t])
+            alpha[0] = np.where(top[:, None], self.start, before[which] @ self.moves) * e[0]
+            for t, m in enumerate(running.tolist()):
                 if t:
                     alpha[t, :m] = (alpha[t - 1, :m] @ self.moves) * e[t, :m]
                 scale[t, :m] = alpha[t, :m].sum(axis=1)
                 alpha[t, :m] /= scale[t, :m, None]
-            beta = np.ones((len(part), k))
-            for t in range(int(n[0]) - 1, -1, -1):
+            n = (np.arange(len(obs))[:, None] < np.searchsorted(-running, -np.arange(len(which)), side="left")).sum(axis=0)
+            beta = after[which] / (alpha[n - 1, np.arange(len(which))] * after[which]).sum(axis=1, keepdims=True)
+            log += np.log10(scale).sum()
+            for t in range(len(running) - 1, -1, -1):
                 m = int(running[t])
                 gamma = alpha[t, :m] * beta[:m]
                 gamma /= gamma.sum(axis=1, keepdims=True)
                 ahead = e[t, :m] * beta[:m] / scale[t, :m, None]
-                alpha_t = gamma
                 if t:
                     moves += self.moves * (alpha[t - 1, :m].T @ ahead)
                     beta[:m] = ahead @ self.moves.T
                 else:
-                    starts += gamma[top[:m]].sum(axis=0)
-                alpha[t, :m] = alpha_t
-            flat = np.concatenate([obs[t, : running[t]] for t in range(int(n[0]))])
-            g = np.concatenate([alpha[t, : running[t]] for t in range(int(n[0]))])
+                    moves += self.moves * (before[which][~top].T @ ahead[~top])
+                    starts += gamma[top].sum(axis=0)
+                alpha[t, :m] = gamma
+            flat = np.concatenate([obs[t, :m] for t, m in enumerate(running.tolist())])
+            g = np.concatenate([alpha[t, :m] for t, m in enumerate(running.tolist())])
             for s in range(k):
                 emits[s] += np.bincount(flat, weights=g[:, s], minlength=v)
-        return np.concatenate([starts, moves.ravel(), emits.ravel()])
+        return np.concatenate([starts, moves.ravel(), emits.ravel(), [log, sum(map(len, texts))]])
 
     def updated(self, counts: np.ndarray, unigram: np.ndarray) -> Hmm:
         k, v = len(self.start), len(self.emits)
-        starts, moves, emits = counts[:k], counts[k : k + k * k].reshape(k, k), counts[k + k * k :].reshape(k, v)
+        starts, moves, emits = counts[:k], counts[k : k + k * k].reshape(k, k), counts[k + k * k : k + k * k + k * v].reshape(k, v)
         prior = (unigram + 0.5) / (unigram + 0.5).sum()
         starts, moves, emits = starts + 0.1, moves + 0.1, emits.T + prior[:, None]
         return Hmm(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
@@ -205,7 +241,7 @@ class Hmm:
 
 def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
     """Baum-Welch over all training texts; what reaches the driver has the size of the model."""
-    model, size = Hmm.first(unigram, states), states + states * states + states * len(unigram)
+    model, size, last = Hmm.first(unigram, states), states + states * states + states * len(unigram) + 2, -np.inf
     sc = encoded.sparkSession.sparkContext
     for _ in range(rounds):
         held = sc.broadcast(model)
@@ -221,6 +257,10 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
         for i, x in rows:
             counts[i] = x
         model = model.updated(counts, unigram)
+        now = counts[-2] / max(counts[-1], 1)
+        if now - last < GAIN:
+            break
+        last = now
     return model
 
 

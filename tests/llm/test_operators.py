@@ -334,7 +334,56 @@ def test_forward_and_counts_against_enumeration():
                 want_counts[6 + 3 * z + x] += q / total
                 if t:
                     want_counts[2 + 2 * p[t - 1] + z] += q / total
-    assert m.expected(seqs) == pytest.approx(want_counts)
+    for segment in (1, 2, 3, 128):
+        got = m.expected(seqs, segment)
+        assert got[:-2] == pytest.approx(want_counts)
+        assert got[-2] == pytest.approx(sum(m.log10([s])[0] for s in seqs)) and got[-1] == 7
+
+
+def test_hmm_score_against_the_plain_recursion(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "NEAR", 5)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefghijk"), rng.integers(0, 9), p=np.arange(11, 0, -1) / 66)) for _ in range(60)] + [None, "zz a qq"]
+    held = []
+
+    def fixed(encoded, unigram, **_):
+        norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+        held.append(hmm.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((len(unigram), 3)), 0)))
+        return held[0]
+
+    monkeypatch.setattr(hmm, "train", fixed)
+    got = {r.doc_id: r.score for r in hmm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") < 40).collect()}
+    count = Counter(w for t in texts[:40] for w in hmm.words(t))
+    ranked = sorted(count, key=lambda w: (-count[w], w))
+    levels = np.floor(np.log2([count[w] for w in ranked]) * 8)
+    near = [w for w, s in zip(ranked, levels) if (levels >= s).sum() <= 5]  # whole steps of the count
+    bucket = lambda w: zlib.crc32(w) % hmm.BUCKETS
+    shared = defaultdict(list)
+    for w in ranked[len(near) :]:
+        shared[bucket(w)].append(count[w])
+    m = held[0]
+    for i, t in enumerate(texts):
+        p, share = m.start, 1.0
+        for n, w in enumerate([*hmm.words(t), None]):
+            at = hmm.OWN + hmm.BUCKETS if w is None else near.index(w) if w in near else hmm.OWN + bucket(w)
+            p = (p if n == 0 else p @ m.moves) * m.emits[at]
+            if w is not None and w not in near:
+                own = shared[bucket(w)]
+                share *= (count[w] + 1) / (sum(own) + len(own) + 1)
+        assert got[i] == pytest.approx(np.log10(p.sum() * share))
+
+
+def test_hmm_training_finds_kinds_of_texts():
+    rng = np.random.default_rng(5)
+    kinds = [rng.dirichlet(np.full(60, 0.1)) for _ in range(3)]
+    texts = [np.append(rng.choice(60, rng.integers(5, 400), p=kinds[i % 3]), 60) for i in range(240)]
+    unigram = np.bincount(np.concatenate(texts[:200]), minlength=61).astype(float)
+    model = hmm.Hmm.first(unigram, 4)
+    for _ in range(5):
+        model = model.updated(model.expected(texts[:200]), unigram)
+    plain = np.log10((unigram + 0.5) / (unigram + 0.5).sum())
+    gain = sum(model.log10([t])[0] - plain[t].sum() for t in texts[200:]) / sum(map(len, texts[200:]))
+    assert gain >= 0.2
 
 
 def test_near_vectors(spark, monkeypatch):
