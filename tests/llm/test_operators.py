@@ -491,6 +491,7 @@ def test_chains_and_distance_against_brute_force():
             d = np.array([e := i + 1] + [e := min(e + 1, d[j + 1] + 1, d[j] + (p[i] != q[j])) for j in range(len(q))])
         assert passages.distance(p, q, 20) == d[-1]
         assert passages.distance(p, q, 2) == min(d[-1], 3)
+        assert passages._banded(p, q, 20) == d[-1]
 
 
 def test_image_copies(spark):
