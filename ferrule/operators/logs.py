@@ -24,8 +24,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", F.posexplode(split).alias("line_no", "line"))
 
 
-def _part(pattern: str, i: int) -> Column:
-    return F.regexp_extract(F.trim("line"), pattern, i)
+MARK = "\x01"
+
+
+def _matched(lines: DataFrame, pattern: str, groups: int, text: Column) -> DataFrame:
+    """The lines that match, with their groups in one array, so that each line is matched once; a group without a part is empty."""
+    marked = F.regexp_replace(text, pattern, MARK + MARK.join(f"${i}" for i in range(1, groups + 1)))
+    parts = lines.withColumn("_parts", F.split(marked, MARK, -1))
+    return parts.where((F.size("_parts") == groups + 1) & (F.element_at("_parts", 1) == ""))
+
+
+def _part(i: int) -> Column:
+    return F.element_at("_parts", i + 1)
+
+
+def _uptime_ms(seconds: Column) -> Column:
+    """Whole milliseconds of seconds as text, the rest cut off; 0 for none."""
+    return (F.when(seconds == "", 0.0).otherwise(seconds.try_cast("double")) * 1000.0).cast("long")
 
 
 def memory_kb(text: Column) -> Column:
@@ -43,12 +58,11 @@ def _rest(df: DataFrame) -> list[str]:
 
 def parse_gc(lines: DataFrame) -> DataFrame:
     """timestamp_ms, gc_id, type, cause, heap_before_kb, heap_after_kb, heap_total_kb, pause_ms, is_full, reclaimed_kb."""
-    hit = lines.where(F.contains("line", F.lit("[gc")) & F.trim("line").rlike(GC_LINE))
-    whole, g = F.trim(_part(GC_LINE, 3)), lambda i: _part(GC_LINE, i)
+    hit, g = _matched(lines.where(F.contains("line", F.lit("[gc"))), GC_LINE, 7, F.trim("line")), _part
+    whole = F.trim(g(3))
     known = whole.rlike(GC_CAUSE)
-    up = F.when(g(1) == "", 0.0).otherwise(g(1).try_cast("double"))
     out = hit.select(
-        *_rest(lines), F.round(up * 1000).cast("long").alias("timestamp_ms"), g(2).try_cast("int").alias("gc_id"),
+        *_rest(lines), _uptime_ms(g(1)).alias("timestamp_ms"), g(2).try_cast("int").alias("gc_id"),
         F.when(known, F.trim(F.regexp_extract(whole, GC_CAUSE, 1))).otherwise(whole).alias("type"),
         F.when(known, F.trim(F.regexp_extract(whole, GC_CAUSE, 2))).otherwise("Normal").alias("cause"),
         *[memory_kb(g(i)).alias(n) for i, n in ((4, "heap_before_kb"), (5, "heap_after_kb"), (6, "heap_total_kb"))],
@@ -59,17 +73,19 @@ def parse_gc(lines: DataFrame) -> DataFrame:
 
 
 def parse_safepoint(lines: DataFrame) -> DataFrame:
-    hit = lines.where(F.contains("line", F.lit("[safepoint")) & F.trim("line").rlike(SAFEPOINT_LINE))
-    g = lambda i: _part(SAFEPOINT_LINE, i)
-    up = F.when(g(1) == "", 0.0).otherwise(g(1).try_cast("double"))
+    hit, g = _matched(lines.where(F.contains("line", F.lit("[safepoint"))), SAFEPOINT_LINE, 6, F.trim("line")), _part
     names = ("since_last_ns", "reaching_ns", "at_ns", "total_ns")
-    out = hit.select(*_rest(lines), F.round(up * 1000).cast("long").alias("timestamp_ms"), g(2).alias("name"), *[g(i + 3).try_cast("long").alias(n) for i, n in enumerate(names)])
+    out = hit.select(*_rest(lines), _uptime_ms(g(1)).alias("timestamp_ms"), g(2).alias("name"), *[g(i + 3).try_cast("long").alias(n) for i, n in enumerate(names)])
     return out.withColumns({"total_ms": F.col("total_ns") / 1e6, "reaching_ms": F.col("reaching_ns") / 1e6})
 
 
+def scan_gc(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(collections, safepoints): each line is tried as a collection first and as a safepoint if it is none."""
+    return parse_gc(lines), parse_safepoint(lines.where(~F.coalesce(F.contains("line", F.lit("[gc")) & F.rlike(F.trim("line"), F.lit(GC_LINE)), F.lit(False))))
+
+
 def parse_jit(lines: DataFrame) -> DataFrame:
-    hit = lines.where(F.col("line").rlike(JIT_LINE))
-    g = lambda i: F.regexp_extract("line", JIT_LINE, i)
+    hit, g = _matched(lines, JIT_LINE, 7, F.col("line")), _part
     status = F.when(F.trim(g(7)) == "", "NORMAL").otherwise(F.trim(g(7)))
     out = hit.select(
         *_rest(lines), g(1).try_cast("long").alias("timestamp_ms"), g(2).try_cast("int").alias("compile_id"), g(4).cast("int").alias("tier"),
@@ -80,8 +96,7 @@ def parse_jit(lines: DataFrame) -> DataFrame:
 
 
 def parse_inlining(lines: DataFrame) -> DataFrame:
-    hit = lines.where(F.col("line").rlike(INLINING_LINE))
-    g = lambda i: F.regexp_extract("line", INLINING_LINE, i)
+    hit, g = _matched(lines, INLINING_LINE, 4, F.col("line")), _part
     reason = F.trim(g(4))
     return hit.select(
         *_rest(lines), g(1).try_cast("int").alias("bytecode_index"), g(2).alias("target_method"), g(3).try_cast("int").alias("bytecode_size"),

@@ -132,20 +132,26 @@ def health_issues(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({"issues": issues, "severity": names, "healthy": worst < 2})
 
 
+def profile_totals(diff: DataFrame) -> DataFrame:
+    """total_a, total_b, net of a profile_diff."""
+    a, b = F.coalesce(F.sum("count_a"), F.lit(0)), F.coalesce(F.sum("count_b"), F.lit(0))
+    return diff.agg(a.alias("total_a"), b.alias("total_b"), (b - a).alias("net"))
+
+
 def execution_stats(calls: DataFrame, thread: str, order: str, kind: str, nanos: str) -> DataFrame:
     """thread, executions, total_nanos of ENTRY/EXIT events paired like brackets; a nested call counts in its caller's time too.
 
-    An exit without an entry is ignored. A thread's events are folded in order.
+    An exit without an entry is ignored. Running sums give each event its depth; the events of one depth alternate,
+    so an exit's entry is the one before it.
     """
-    event = F.struct(order, kind, nanos)
-    ordered = calls.groupBy(thread).agg(F.sort_array(F.collect_list(event)).alias("e"))
-    zero = F.expr("cast(named_struct('open', array(), 'n', 0L, 'total', 0L) as struct<open: array<bigint>, n: bigint, total: bigint>)")
-
-    def step(s, e):
-        top = F.try_element_at(s["open"], F.lit(-1))
-        done = F.struct(F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0))).alias("open"), (s["n"] + 1).alias("n"), (s["total"] + e[nanos] - top).alias("total"))
-        entered = F.struct(F.array_append(s["open"], e[nanos].cast("long")).alias("open"), s["n"].alias("n"), s["total"].alias("total"))
-        return F.when(e[kind] == "ENTRY", entered).when(top.isNotNull(), done).otherwise(s)
-
-    folded = ordered.select(thread, F.aggregate("e", zero, step).alias("s"))
-    return folded.select(thread, F.col("s.n").alias("executions"), F.col("s.total").alias("total_nanos"))
+    so_far = Window.partitionBy(thread).orderBy(order)
+    upto = so_far.rowsBetween(Window.unboundedPreceding, 0)
+    entry = F.col(kind) == "ENTRY"
+    sums = calls.select(thread, order, kind, nanos).withColumn("_sum", F.sum(F.when(entry, 1).otherwise(-1)).over(upto))
+    lows = sums.withColumn("_low", F.least(F.lit(0), F.min("_sum").over(upto)))
+    lone = ~entry & (F.col("_sum") < F.coalesce(F.lag("_low").over(so_far), F.lit(0)))
+    depth = F.col("_sum") - F.col("_low")
+    placed = lows.withColumn("_lone", lone).withColumn("_depth", F.when(F.col("_lone"), 0).when(entry, depth).otherwise(depth + 1))
+    before = F.lag(nanos).over(Window.partitionBy(thread, "_depth").orderBy(order))
+    done = placed.withColumn("_took", F.when(~entry & ~F.col("_lone"), F.col(nanos) - before))
+    return done.groupBy(thread).agg(F.count("_took").alias("executions"), F.coalesce(F.sum("_took"), F.lit(0)).cast("long").alias("total_nanos"))

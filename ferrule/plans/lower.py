@@ -161,7 +161,8 @@ class Lowering:
         if node.method == "equals" and args[0].kind != target.kind:
             value = F.lit(False)
         else:
-            value = method.lower(target.value, *values)
+            known = {"literals": [a.literal for a in args]} if method.literals else {}
+            value = method.lower(target.value, *values, **known)
         if target.kind == "Object" or isinstance(node.target, Call):
             error = first(error, F.when(target.value.isNull(), F.lit(f"Cannot invoke method '{node.method}' on null target")))
         if method.result != "Object":

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import logs, stats
+from ferrule.operators import logs, runtime, stats
 from ferrule.operators.rules import CompiledRule, apply_rules_long, compile_rule, rule_summary
 from ferrule.sources.rules import Rule
 
@@ -217,7 +217,7 @@ def cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
 _GC = """concat('[', event_id, '.', 100 + event_id % 900, 's][info][gc] GC(', event_id, ') ', case when event_id % 10 = 0 then 'Pause Full (System.gc())' else
 'Pause Young (Normal) (G1 Evacuation Pause)' end, ' ', 20 + event_id % 30, 'M->', 4 + event_id % 40, 'M(256M) ', event_id % 97, '.', 100 + event_id % 900, 'ms')"""
 _GC_SQL = f"""with l as (select event_id, {_GC} as line from events), g as (select event_id,
-(event_id * 1000 + 100 + event_id % 900)::bigint as timestamp_ms, event_id::integer as gc_id, case when event_id % 10 = 0 then 'Pause Full' else 'Pause Young (Normal)' end as type,
+trunc(concat(event_id, '.', 100 + event_id % 900)::double * 1000.0::double)::bigint as timestamp_ms, event_id::integer as gc_id, case when event_id % 10 = 0 then 'Pause Full' else 'Pause Young (Normal)' end as type,
 case when event_id % 10 = 0 then 'System.gc()' else 'G1 Evacuation Pause' end as cause, (regexp_extract(line, ' ([0-9]+)M->', 1)::bigint * 1024) as heap_before_kb,
 (regexp_extract(line, '->([0-9]+)M', 1)::bigint * 1024) as heap_after_kb, 262144::bigint as heap_total_kb, regexp_extract(line, ' ([0-9.]+)ms$', 1)::double as pause_ms,
 event_id % 10 = 0 as is_full, greatest(0, heap_before_kb - heap_after_kb)::bigint as reclaimed_kb from l)"""
@@ -245,7 +245,7 @@ _SAFE = """concat('[', event_id, '.', 100 + event_id % 900, 's][info][safepoint]
 event_id * 3, ' ns, At safepoint: ', event_id * 5, ' ns, Total: ', event_id * 8, ' ns')"""
 
 
-@query("""select event_id, (event_id * 1000 + 100 + event_id % 900)::bigint as timestamp_ms, event_type as name, 1000 + event_id as since_last_ns, event_id * 3 as reaching_ns,
+@query("""select event_id, trunc(concat(event_id, '.', 100 + event_id % 900)::double * 1000.0::double)::bigint as timestamp_ms, event_type as name, 1000 + event_id as since_last_ns, event_id * 3 as reaching_ns,
 event_id * 5 as at_ns, event_id * 8 as total_ns, event_id * 8 / 1e6 as total_ms, event_id * 3 / 1e6 as reaching_ms from events""")
 def safepoint_parse(spark: SparkSession, d: str) -> DataFrame:
     return logs.parse_safepoint(table(spark, d, "events").selectExpr("event_id", f"{_SAFE} as line"))
@@ -351,13 +351,148 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, count(*) as n from events where value > 10 and event_type <> 'view' group by event_type")
 def event_router_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream through a rule to a running count, drained to the end."""
+    """The events as a stream through a rule to a running count, drained to the end; state and counts lie in the shared folder."""
+    import tempfile
     import uuid
 
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*" if not d.startswith("viewfs") else f"{d}/events.parquet")
     hits = rule("route", "value > 10 && event_type != 'view'", value="double", event_type="string").where(stream)
-    name = f"routed_{uuid.uuid4().hex}"
-    q = hits.groupBy("event_type").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-")  # set on any cluster
+    out = f"{shared}/routed-{uuid.uuid4().hex}"
+    counts = hits.groupBy("event_type").agg(F.count("*").alias("n"))
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{out}/counts")
+    q = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{out}/counts")
+
+
+# Lines of collections, safepoints and noise, with uptimes of a tenth of a millisecond.
+_MIXED = """concat('[', event_id, '.', 1000 + event_id % 9000, case event_id % 3 when 0 then concat('s][info][gc] GC(', event_id, ') Pause Young (Normal) ', 9 + event_id % 5, 'M->4M(64M) 1.5ms')
+when 1 then concat('s][info][safepoint] Safepoint "Cleanup", Time since last: 5 ns, Reaching safepoint: 1 ns, At safepoint: ', event_id, ' ns, Total: ', event_id + 1, ' ns') else 's] other' end)"""
+
+
+@query("""select event_id, case event_id % 3 when 0 then 'gc' else 'safepoint' end as kind, trunc(concat(event_id, '.', 1000 + event_id % 9000)::double * 1000.0::double)::bigint as timestamp_ms,
+case event_id % 3 when 0 then (9 + event_id % 5) * 1024 - 4096 else event_id + 1 end::bigint as amount from events where event_id % 3 < 2""")
+def gc_scan_fallback(spark: SparkSession, d: str) -> DataFrame:
+    gc, safe = logs.scan_gc(table(spark, d, "events").selectExpr("event_id", f"{_MIXED} as line"))
+    return gc.select("event_id", F.lit("gc").alias("kind"), "timestamp_ms", F.col("reclaimed_kb").alias("amount")).unionByName(
+        safe.select("event_id", F.lit("safepoint").alias("kind"), "timestamp_ms", F.col("total_ns").alias("amount"))
+    )
+
+
+@query(f"""{_JIT_SQL}, h as (select * from j order by event_id desc limit 500)
+select 'method' as predicate, event_id, method, tier from h where contains(method, 'C1') union all select 'tier', event_id, method, tier from h where tier = 4
+union all select 'deopt', event_id, method, tier from h where is_deopt""")
+def jit_history(spark: SparkSession, d: str) -> DataFrame:
+    h = runtime.history(_jit(spark, d), "event_id", 500)
+    named = lambda df, n: df.select(F.lit(n).alias("predicate"), "event_id", "method", "tier")
+    return named(runtime.for_method(h, "C1"), "method").unionByName(named(runtime.for_tier(h, 4), "tier")).unionByName(named(runtime.deoptimizations(h), "deopt"))
+
+
+@query(f"""{_JIT_SQL} select method, event_id, tier, is_deopt, row_number() over (partition by method order by event_id) as nth, count(*) over (partition by method) as transitions from j""")
+def jit_method_history(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("method")
+    return _jit(spark, d).select("method", "event_id", "tier", "is_deopt", F.row_number().over(own.orderBy("event_id")).alias("nth"), F.count("*").over(own).alias("transitions"))
+
+
+@query(f"""{_JIT_SQL} select 'C4' as part, coalesce(max(tier) filter (where contains(method, 'C4')), 0) as highest_tier from j union all select 'none', 0""")
+def jit_highest_tier(spark: SparkSession, d: str) -> DataFrame:
+    events = _jit(spark, d)
+    one = lambda part: runtime.highest_tier(events, part).select(F.lit(part).alias("part"), "highest_tier")
+    return one("C4").unionByName(one("none"))
+
+
+@query("""with e as (select event_id, (event_id % 400)::integer as size, event_id % 2 = 0 as hot from events), l as (select *, case when hot then 325 else 35 end as lim from e)
+select event_id, size <= lim as inlined, 'Bytecode size (' || size || ' bytes) ' || case when size <= lim then '<=' else '>' end || ' limit (' || lim || ' bytes)' ||
+case when size <= lim then '' else ', inlining rejected' end as reason from l""")
+def inline_limits(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("event_id", "cast(event_id % 400 as int) as size", "event_id % 2 = 0 as hot")
+    inlined, reason = runtime.inline_decision(F.col("size"), F.col("hot"))
+    return e.select("event_id", inlined.alias("inlined"), reason.alias("reason"))
+
+
+@query("""with c as (select user_id, count(*) * 150 as calls from events group by user_id)
+select user_id, calls, case when calls >= 15000 then 4 when calls >= 100 then 3 else 0 end as highest_tier, (calls >= 100)::integer + (calls >= 2000)::integer as c1,
+(calls >= 15000)::integer as c2, calls >= 2000 as inlined from c""")
+def tier_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return runtime.scheduled_compilations(table(spark, d, "events").groupBy("user_id").agg((F.count("*") * 150).alias("calls")), "calls")
+
+
+@query("""with p as (select event_id, 'main;' || event_type || ';f' || (user_id % 7) as stack, (1 + event_id % 10)::bigint as count from events),
+a as (select stack, arg_max(count, event_id) as n from p where event_id % 2 = 0 group by stack), b as (select stack, arg_max(count, event_id) as n from p where event_id % 2 = 1 group by stack)
+select (select sum(n) from a)::bigint as total_a, (select sum(n) from b)::bigint as total_b, ((select sum(n) from b) - (select sum(n) from a))::bigint as net""")
+def profile_totals(spark: SparkSession, d: str) -> DataFrame:
+    s = _stacks(spark, d)
+    return stats.profile_totals(stats.profile_diff(s.where("line_no % 2 = 0"), s.where("line_no % 2 = 1")))
+
+
+@query("""select count(*) filter (where event_type = 'signup') - count(*) filter (where event_type = 'error') as active, count(*) filter (where event_type = 'view') as classes_loaded,
+count(*) filter (where event_type = 'error') as closed from events""")
+def loader_counters(spark: SparkSession, d: str) -> DataFrame:
+    return runtime.loader_counters(table(spark, d, "events").selectExpr("case event_type when 'signup' then 'CREATED' when 'error' then 'CLOSED' when 'view' then 'LOADED' end as kind"))
+
+
+@query("select event_id as id from events where event_id % 3 = 0 and event_type = 'error'")
+def loader_leaks(spark: SparkSession, d: str) -> DataFrame:
+    loaders = table(spark, d, "events").selectExpr("event_id as id", "event_id % 3 = 0 as referenced", "event_type = 'error' as closed")
+    return runtime.leaked_loaders(loaders).select("id")
+
+
+@query("""select count(*) filter (where event_type = 'signup') as rules_compiled, count(*) filter (where event_type = 'view') as rules_executed,
+count(*) filter (where event_type = 'click') as cache_hits, count(*) filter (where event_type = 'error') as cache_misses,
+coalesce(greatest(0, arg_max(event_id % 90 - 40, event_id) filter (where event_type = 'purchase')), 1)::bigint as active_loaders, 0::bigint as metaspace_bytes from events""")
+def engine_gauges(spark: SparkSession, d: str) -> DataFrame:
+    kind = "case event_type when 'signup' then 'COMPILED' when 'view' then 'EXECUTED' when 'click' then 'HIT' when 'error' then 'MISS' when 'purchase' then 'LOADERS' end as kind"
+    found = runtime.engine_counters(table(spark, d, "events").selectExpr(kind, "event_id % 90 - 40 as value", "event_id"), "event_id")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("active_loaders", "metaspace_bytes")})
+
+
+@query("""with a as (select case when event_id % 5 = 0 then ' ' when event_id % 7 = 0 then null else 'app.' || event_type end as class_name from events)
+select class_name, count(*) as n from a where trim(class_name) <> '' group by class_name union all select null, count(*) from a""")
+def allocations_by_class(spark: SparkSession, d: str) -> DataFrame:
+    return runtime.allocations(table(spark, d, "events").selectExpr("case when event_id % 5 = 0 then ' ' when event_id % 7 = 0 then null else concat('app.', event_type) end as class_name"))
+
+
+_NAME = """case event_id % 5 when 0 then null when 1 then concat('org.slf4j.L-', event_type) when 2 then concat('ferrule.api.', user_id, '$x') else concat('my rule/', event_type) end as name"""
+_MODE = "case event_id % 4 when 0 then 'ALLOC' when 1 then 'Wall' when 2 then 'none' end as mode"
+
+
+@query(f"""with n as (select event_id, {_NAME}, {_MODE} from events) select event_id, coalesce(regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g'), 'anon') as safe, coalesce(starts_with(name, 'org.slf4j') or starts_with(name, 'ferrule.api'), false) as shared,
+case mode when 'ALLOC' then 'alloc' when 'Wall' then 'wall' else 'cpu' end as mode from n""")
+def names_and_modes(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "events").selectExpr("event_id", _NAME, _MODE)
+    return n.select("event_id", runtime.sanitised(F.col("name")).alias("safe"), runtime.shared_package(F.col("name")).alias("shared"), runtime.profile_mode(F.col("mode")).alias("mode"))
+
+
+@query("""select event_id, case when event_id % 2 = 0 then 'false' else 'true' end as retransform, case when event_id % 3 = 0 then 'DEBUG' else event_type end as log_level from events""")
+def agent_settings(spark: SparkSession, d: str) -> DataFrame:
+    args = "concat('retransform=', event_id % 2 <> 0, ', logLevel=', event_type, case when event_id % 3 = 0 then ';logLevel=DEBUG' else ';' end)"
+    e = table(spark, d, "events").select("event_id", runtime.settings(F.expr(args)).alias("s"))
+    return e.select("event_id", F.col("s")["retransform"].alias("retransform"), F.col("s")["logLevel"].alias("log_level"))
+
+
+@query("""select case when event_type = 'error' then 'execution' else 'cache_eviction' end as kind, count(*) as n from events group by 1""")
+def recorded_events(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("rule_name", F.col("event_type"))
+    both = runtime.record(e.where("event_type = 'error'"), "execution").unionByName(runtime.record(e.where("event_type <> 'error'"), "cache_eviction"))
+    return both.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""with e as (select event_id, event_type as t, case event_id % 4 when 0 then '[' when 1 then 'v.*' when 2 then '.*(i|r).*' else event_type end as p from events)
+select event_id, p <> '[' as success, case when p <> '[' then regexp_full_match(t, p) end as result, case when p = '[' then 'Method invocation failed: matches' end as error from e""")
+def regex_calls(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("event_id", "event_type as t", "case event_id % 4 when 0 then '[' when 1 then 'v.*' when 2 then '.*(i|r).*' else event_type end as p")
+    return flat(e, rule("regex", "t.matches(p)", t="string", p="string"), ["event_id"])
+
+
+@query("""with e as (select event_id, event_type as t from events), k as (select *, list_filter(range(1, least(length(t), 6) + 1), lambda i: t[i] <> 'signup'[i])[1] as k,
+list_reduce(list_transform(string_split(t, ''), lambda c: ascii(c)::bigint), lambda h, c: (h * 31 + c) & 4294967295) as h from e)
+select event_id, '-' || array_to_string(string_split(t, ''), '-') || '-' as spread, regexp_replace(t, '[aeiou]', '#') as first, (case when h >= 2147483648 then h - 4294967296 else h end)::integer as hash,
+(case when t = 'signup' then 0 when k is not null then ascii(t[k]) - ascii('signup'[k]) else length(t) - 6 end)::integer as compared, regexp_replace(t, '(.)i', '<\\1>', 'g') as every from k""")
+def more_string_methods(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("event_id", "event_type as t")
+    calls = {"spread": 't.replace("", "-")', "first": 't.replaceFirst("[aeiou]", "#")', "hash": "t.hashCode()", "compared": 't.compareTo("signup")', "every": 't.replaceAll("(.)i", "<$1>")'}
+    return e.select("event_id", *[rule(n, x, t="string").result(e)["result"].alias(n) for n, x in calls.items()])

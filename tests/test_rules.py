@@ -55,11 +55,11 @@ def test_folding_leaves_open_operands():
 @pytest.mark.parametrize(
     ("expression", "record", "schema", "declared", "expected"),
     [
-        ("x + y", (10, 20), "x long, y long", {"x": "int", "y": "int"}, 30),
-        ("name.equals('test')", ("test",), "name string", {"name": "string"}, True),
-        ("a * b - c", (5, 4, 2), "a long, b long, c long", {"a": "int", "b": "int", "c": "int"}, 18),
-        ("total / count", (10.0, 4.0), "total double, count double", {"total": "double", "count": "double"}, 2.5),
-        ("price * quantity", (15.5, 3), "price double, quantity int", {"price": "double", "quantity": "int"}, 46.5),
+        ("u + v", (31, -8), "u long, v long", {"u": "int", "v": "int"}, 23),
+        ("tag.equals('blue')", ("blue",), "tag string", {"tag": "string"}, True),
+        ("k * m - n", (7, 6, 11), "k long, m long, n long", {"k": "int", "m": "int", "n": "int"}, 31),
+        ("load / lanes", (9.0, 8.0), "load double, lanes double", {"load": "double", "lanes": "double"}, 1.125),
+        ("width * pieces", (2.25, 4), "width double, pieces int", {"width": "double", "pieces": "int"}, 9.0),
         ("p + s", ("A-", "b"), "p string, s string", {"p": "string", "s": "string"}, "A-b"),
         ("!d", (False,), "d boolean", {"d": "boolean"}, True),
         ("-b", (500,), "b long", {"b": "long"}, -500),
@@ -77,7 +77,7 @@ def test_folding_leaves_open_operands():
         ("x / y", (1.0, -0.0), "x double, y double", {"x": "double", "y": "double"}, -math.inf),
         ("x < y", (-0.0, 0.0), "x double, y double", {"x": "double", "y": "double"}, True),
         ("x == y", (-0.0, 0.0), "x double, y double", {"x": "double", "y": "double"}, False),
-        ("(a + b * 2 - c / 2 > 100) && (x == y || z != 5)", (50, 30, 20, 10, 10, 1), "a int, b int, c int, x int, y int, z int", dict.fromkeys("abcxyz", "int"), False),
+        ("low + 3 * mid - top / 4 >= 40 && !(left == right) && (spare < 7 || top != top)", (6, 12, 9, 1, 2, 3), "low int, mid int, top int, left int, right int, spare int", dict.fromkeys(("low", "mid", "top", "left", "right", "spare"), "int"), True),
     ],
 )
 def test_evaluation(spark, expression, record, schema, declared, expected):
@@ -85,6 +85,31 @@ def test_evaluation(spark, expression, record, schema, declared, expected):
     assert (row.success, row.result, row.error) == (True, expected, None)
 
 
+@pytest.mark.parametrize(
+    ("call", "values", "expected"),
+    [
+        ("s.matches('[')", ("a",), None), ("s.matches('a|b.*')", ("bc",), True), ("s.matches(p)", ("aab", "a+"), False), ("s.matches(p)", ("x", "(x"), None),
+        ("s.replaceAll('(a)', '$1$1')", ("aba",), "aabaa"), ("s.replaceAll('a', '$3')", ("aba",), None), ("s.replaceAll('z', '$3')", ("aba",), "aba"),
+        ("s.replaceAll(p, 'x')", ("a[", "["), None), ("s.replaceAll(p, '<$0>')", ("ab", "[ab]"), "<a><b>"), ("s.replaceFirst('b+', '-')", ("abbab",), "a-ab"),
+        ("s.replaceFirst('(b)(a)', '$2$1')", ("aba",), "aab"), ("s.replaceFirst('z', '$9')", ("ab",), "ab"), ("s.replaceFirst('a', '$9')", ("ab",), None), ("s.replaceFirst('*', 'x')", ("ab",), None),
+        ("s.replace('', '.')", ("ab",), ".a.b."), ("s.replace('', '.')", ("",), "."), ("s.replace('a', '$1')", ("aa",), "$1$1"), ("s.hashCode()", ("polygenelubricants",), -(2**31)),
+        ("s.hashCode()", ("",), 0), ("s.hashCode()", ("é😀",), (233 * 31 + 0xD83D) * 31 + 0xDE00), ("s.compareTo(p)", ("abc", "abd"), -1), ("s.compareTo(p)", ("abcde", "ab"), 3), ("s.compareTo(p)", ("b", "a"), 1),
+    ],
+)
+def test_string_calls_never_fail_a_query(spark, call, values, expected):
+    schema = ", ".join(f"{n} string" for n in "sp"[: len(values)])
+    row = run(spark, call, values, schema, s="string", p="string")
+    assert (row.success, row.error) == ((False, f"Method invocation failed: {call[2:].partition('(')[0]}") if expected is None else (True, None))
+    assert row.result == expected
+
+
+def test_number_calls(spark):
+    for call, value, expected in (("d.intValue()", -7.9, -7), ("d.intValue()", 1e12, 2**31 - 1), ("d.longValue()", -1e30, -(2**63)), ("d.longValue()", math.nan, 0)):
+        assert run(spark, call, (value,), "d double", d="double").result == expected
+    assert run(spark, "n.hashCode()", (2**40 + 5,), "n long", n="long").result == 256 ^ 5
+    assert run(spark, "b.hashCode()", (True,), "b boolean", b="boolean").result == 1231
+
+
 def test_failures_are_rows(spark):
     missing = "Missing variable in execution context: x"
     assert run(spark, "x + 1", (None,), "x long", x="long").error == missing
