@@ -41,28 +41,35 @@ def choose(sample: np.ndarray, pivots: int = PIVOTS, alike: float = ALIKE) -> np
     return out
 
 
-def describe(nodes: DataFrame, pivots: np.ndarray, keep: int = KEEP) -> DataFrame:
-    """rep, raw (little-endian doubles), order (16-bit pivots, nearest first), lists array<int>."""
+def describe(nodes: DataFrame, pivots: dict[int, np.ndarray], keep: int = KEEP) -> DataFrame:
+    """rep, copies, raw (little-endian doubles), order (16-bit pivots, nearest first), lists array<long>.
+
+    pivots: by the length of vectors, since only vectors of one length are compared; a list's number holds that length.
+    Vectors of a length without pivots share one list.
+    """
     held = nodes.sparkSession.sparkContext.broadcast(pivots)
-    k = min(keep, len(pivots))
-    t = min(2, k)
 
     def run(batches):
-        p = held.value
-        cuts = np.array(list(combinations(range(k), t)), np.int64)
         for batch in batches:
-            raw = [np.frombuffer(b, "<f8") for b in batch.column(1).to_pylist()]
-            if not raw:
-                continue
-            near = unit(np.array(raw)) @ p.T
-            order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            pairs = np.sort(order[:, cuts], axis=2)
-            lists = pairs[:, :, 0] * (len(p) + 1) + (pairs[:, :, 1] if t == 2 else 0)
-            flat = pa.ListArray.from_arrays(np.arange(len(raw) + 1, dtype=np.int32) * len(cuts), pa.array(lists.ravel().astype(np.int32)))
-            orders = pa.array([o.astype("<u2").tobytes() for o in order], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), orders, flat], ["rep", "copies", "raw", "order", "lists"])
-
-    return nodes.select("rep", "raw", "copies").mapInArrow(run, "rep long, copies long, raw binary, order binary, lists array<int>")
+            size = np.array([len(b) for b in batch.column(1).to_pylist()], np.int64)
+            for n in np.unique(size).tolist():
+                own = batch.filter(pa.array(size == n))
+                p, rows = held.value.get(n // 8), own.num_rows
+                k = min(keep, 0 if p is None else len(p))
+                if k:
+                    raw = np.frombuffer(b"".join(own.column(1).to_pylist()), "<f8").reshape(rows, -1)
+                    cuts = np.array(list(combinations(range(k), min(2, k))), np.int64)
+                    order = np.argsort(-(unit(raw) @ p.T), axis=1, kind="stable")[:, :k]
+                    pairs = np.sort(order[:, cuts], axis=2)
+                    lists = (pairs[:, :, 0] << 16) + (pairs[:, :, 1] if k > 1 else 0)
+                else:
+                    order, lists = np.zeros((rows, 0), np.int64), np.full((rows, 1), (1 << 32) - 1, np.int64)
+                lists = lists + (n << 32)
+                flat = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * lists.shape[1], pa.array(lists.ravel()))
+                orders = pa.array([o.astype("<u2").tobytes() for o in order], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(1), orders, flat], ["rep", "copies", "raw", "order", "lists"])
+
+    return nodes.select("rep", "raw", "copies").mapInArrow(run, "rep long, copies long, raw binary, order binary, lists array<long>")
 
 
 def _compare(block_a, block_b, same: bool, cosine: float):
@@ -74,17 +81,17 @@ def _compare(block_a, block_b, same: bool, cosine: float):
     return i, j
 
 
-def found_links(described: DataFrame, count: int, cosine: float, keep: int = KEEP) -> DataFrame:
+def found_links(described: DataFrame, cosine: float) -> DataFrame:
     """u, v, n: rows with v null say that u has links to n vectors; the others are edges that span each list's links."""
     rows = described.select("rep", "copies", "raw", "order", F.explode("lists").alias("list"))
-    rows = rows.withColumns({"cell": F.col("list").cast("long"), "side": F.lit(2).cast("byte")})
+    rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(2).cast("byte")})
     large = rows.groupBy("list").count().where(F.col("count") > SHARE)
     large = durable(large.select(F.col("list").alias("long_list"), F.ceil(F.col("count") / SHARE).cast("int").alias("shares")))
     if not large.isEmpty():
         joined = rows.join(large, F.col("list") == F.col("long_list"), "left").withColumn("own", F.expr("cast(pmod(xxhash64(rep, 7), shares) as int)"))
         other = joined.where("long_list is not null").withColumn("other", F.explode(F.expr("sequence(0, shares - 1)")))
         split = other.withColumns({
-            "cell": F.expr("-1 - (list * 1000000000000L + least(own, other) * 1000000L + greatest(own, other))"),
+            "lo": F.least("own", "other"), "hi": F.greatest("own", "other"),
             "side": F.expr("cast(case when own = other then 2 when own < other then 0 else 1 end as byte)"),
         })
         rows = joined.where("long_list is null").select(*rows.columns).union(split.select(*rows.columns))
@@ -105,14 +112,14 @@ def found_links(described: DataFrame, count: int, cosine: float, keep: int = KEE
                     i, j = ia[i], jb[j]
                     if not len(i):
                         continue
-                    oi, oj = np.sort(order[i], axis=1), order[j]
-                    shared = (oi[:, :, None] == oj[:, None, :]).any(axis=2)
-                    first = shared.argmax(axis=1)
-                    rest = shared.copy()
-                    rest[np.arange(len(i)), first] = False
-                    at = np.arange(len(i))
-                    second = oi[at, rest.argmax(axis=1)] if order.shape[1] > 1 else 0
-                    own = oi[at, first] * (count + 1) + second == lists
+                    oi, oj, at = np.sort(order[i], axis=1), order[j], np.arange(len(i))
+                    if order.shape[1]:
+                        shared = (oi[:, :, None] == oj[:, None, :]).any(axis=2)
+                        first = shared.argmax(axis=1)
+                        rest = shared.copy()
+                        rest[at, first] = False
+                        second = oi[at, rest.argmax(axis=1)] if order.shape[1] > 1 else 0
+                    own = (oi[at, first] << 16) + second == lists & 0xFFFFFFFF if order.shape[1] else np.ones(len(i), bool)
                     i, j = i[own], j[own]
                     for k, n in zip(*_sums(i, copies[j]), strict=True):
                         degree[int(rep[k])] = degree.get(int(rep[k]), 0) + int(n)
@@ -132,7 +139,7 @@ def found_links(described: DataFrame, count: int, cosine: float, keep: int = KEE
                 degree = {}
         yield _batch(list(degree), [None] * len(degree), list(degree.values()))
 
-    dealt = rows.select("cell", "list", "side", "rep", "copies", "raw", "order").repartition("cell").sortWithinPartitions("cell")
+    dealt = rows.select("list", "lo", "hi", "side", "rep", "copies", "raw", "order").repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi")
     return dealt.mapInArrow(run, "u long, v long, n long")
 
 
@@ -151,10 +158,10 @@ def _cells(batches):
     for batch in batches:
         t = pa.Table.from_batches([batch])
         held = t if held is None else pa.concat_tables([held, t])
-        cell = held.column("cell").to_numpy()
-        if not len(cell):
+        if not held.num_rows:
             continue
-        edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist()]
+        new = np.any([np.diff(held.column(c).to_numpy()) != 0 for c in ("list", "lo", "hi")], axis=0)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
         yield from (_arrays(held.slice(a, b - a)) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1)
         held = held.slice(edges[-1])
     if held is not None and held.num_rows > 1:
@@ -164,7 +171,8 @@ def _cells(batches):
 def _arrays(t: pa.Table):
     number = lambda n: t.column(n).to_numpy()
     raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), "<f8").reshape(t.num_rows, -1)
-    order = np.frombuffer(b"".join(t.column("order").to_pylist()), "<u2").reshape(t.num_rows, -1).astype(np.int64)
+    order = np.frombuffer(b"".join(t.column("order").to_pylist()), "<u2")
+    order = order.reshape(t.num_rows, len(order) // t.num_rows).astype(np.int64)
     return int(t.column("list")[0].as_py()), number("side"), number("rep"), number("copies"), raw, order
 
 
@@ -187,23 +195,18 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     """vec_id, n_links, component_id, kept: one row per row of embeddings.
 
     Equal vectors are one node with its number of copies, linked with each other. Vectors that are
-    null, empty, zero, hold null or non-finite components or differ in length from most link with
-    nothing. vec_id is the key: repeated rows count as copies of each other; a null vec_id is
+    null, empty, zero or hold null or non-finite components link with nothing, and those of different
+    lengths not with each other. vec_id is the key: repeated rows count as copies of each other; a null vec_id is
     returned, unlinked. Extra columns are ignored; an empty table gives no rows. The pivots come from
     the SAMPLE vectors with the smallest hash of their id; every vector is indexed.
     """
     rows = durable(vectors(embeddings, key, column))
     good = rows.where("raw is not null and vec_id is not null")
-    size = good.groupBy(F.length("raw").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    nodes = good.where(F.length("raw") == (size[0][0] if size else 0)).groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    nodes = durable(nodes)
-    sample = nodes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("raw").collect()
-    x = unit(np.array([np.frombuffer(r[0], "<f8") for r in sample])) if sample else np.zeros((0, 1))
-    chosen = choose(x, pivots)
-    if len(chosen):
-        links = durable(found_links(describe(nodes, chosen), len(chosen), cosine))
-    else:
-        links = nodes.select(F.col("rep").alias("u"), F.col("rep").alias("v"), F.lit(0).cast("long").alias("n")).limit(0)
+    nodes = durable(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    sample = [bytes(r[0]) for r in nodes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("raw").collect()]
+    by_size = {n: [b for b in sample if len(b) == n] for n in {len(b) for b in sample}}
+    chosen = {n // 8: choose(unit(np.array([np.frombuffer(b, "<f8") for b in own])), pivots) for n, own in by_size.items()}
+    links = durable(found_links(describe(nodes, chosen), cosine))
     degree = links.where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
     roots = components(links.where("v is not null").select("u", "v"))
     known = nodes.join(degree, nodes["rep"] == degree["u"], "left").join(roots, nodes["rep"] == roots["node"], "left").select(
