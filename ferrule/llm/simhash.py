@@ -22,6 +22,8 @@ from ferrule.llm.common import components, durable, small, table
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows of one cell that are compared within one task; larger cells are dealt out as pairs of shares.
 SHARE = 4096
+#: Rows held by a task at a time.
+BLOCK = 1 << 18
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -106,11 +108,28 @@ def _forest(cell, side, rep, fp, unary, bits: int):
     return out_u, out_v
 
 
+def _whole_cells(batches):
+    """Tables of whole cells of sorted batches, of BLOCK rows and a cell at most."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK:
+            got = pa.Table.from_batches(held)
+            cell = got.column("cell").to_numpy()
+            last = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+            if last:
+                yield got.slice(0, last)
+            held, n = got.slice(last).to_batches(), n - last
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """nodes(rep long, fp long; fp distinct) -> (u, v): enough of the links within `bits` to span each component.
 
     Cells are dealt by hash and sorted; each task compares neighbours at growing distance within
-    their cell, so its memory is its share of the rows and its output is at most one edge a row.
+    their cell, about BLOCK rows of whole cells at a time, and its output is at most one edge a row.
     A cell of more than SHARE rows is split into shares, every pair of which becomes a cell of its
     own: no cell is cut short.
     """
@@ -138,12 +157,10 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
         dealt = small.union(split)
 
     def run(batches):
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
-            return
-        number = lambda name: got.column(name).to_numpy()
-        u, v = _forest(number("cell"), number("side"), number("rep"), number("fp").view(np.uint64), number("unary").view(np.uint64), bits)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        for got in _whole_cells(batches):
+            number = lambda name, got=got: got.column(name).to_numpy()
+            u, v = _forest(number("cell"), number("side"), number("rep"), number("fp").view(np.uint64), number("unary").view(np.uint64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
