@@ -29,12 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one named by spark.checkpoint.dir.
 
-    Only where none is set (tests, a laptop) is a temporary one picked.
+    Where none is set, a temporary one is picked if driver and executors are one process (tests, a laptop);
+    on a cluster it is an error.
     """
     bound_batches(spark)
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ferrule-ckpt-"))
     return sc.getCheckpointDir()
 
 

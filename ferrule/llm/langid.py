@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bound_batches, small, table
+from ferrule.llm.common import bound_batches, durable, sized, small, table
 
 DIMS = 1 << 13
 #: Labelled documents a language lends to the centroids at most; document frequencies use all.
@@ -118,8 +116,8 @@ def fit(labelled: DataFrame, dims: int = DIMS, sample: int = SAMPLE, k: int = CE
     """labelled(doc_id, text, lang) -> Model.
 
     Document frequencies count every labelled text. Centroids come from the `sample` texts of each
-    language with the smallest hash of doc_id (ties by doc_id), clustered on the driver: languages
-    x sample texts, whatever the corpus. A centroid rejects below half of the similarity that 99
+    language with the smallest hash of doc_id (ties by doc_id; rows of one doc_id count as one), clustered
+    language by language. A centroid rejects below half of the similarity that 99
     of 100 of its own sample texts reach (for long texts; the floor falls with the root of the
     length below 400 grams). Null texts and null languages are left out; without labelled rows
     every prediction is `und`.
@@ -142,23 +140,32 @@ def fit(labelled: DataFrame, dims: int = DIMS, sample: int = SAMPLE, k: int = CE
     for gram, n in rows:
         df[gram + 1] = n
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
-    langs = [r[0] for r in labelled.groupBy("lang").count().orderBy("lang").collect()]
-    centroids, names, floors = [], [], []
-    for lang in langs:
-        own = labelled.where(F.col("lang") == lang)
-        picked = own.select("doc_id", order.alias("o")).orderBy("o").limit(sample).select("doc_id")
-        texts = [r[0] for r in own.join(F.broadcast(picked.distinct()), "doc_id").select("text").collect()]
-        x = np.concatenate([weigh(grams(texts[i:j], dims)[0], idf) for i, j in _blocks(texts)])
+    # each task keeps its `sample` first rows of a language before the shuffle
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ranked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().withColumn("nth", F.row_number().over(order))
+    picked = durable(ranked.where(F.col("nth") <= sample).select("lang", "doc_id", "nth"))
+    chosen = labelled.join(sized(picked), ["lang", "doc_id"]).select("lang", "nth", "text")
+
+    def vectors(batches):
+        for batch in small(batches, 64):
+            texts = batch.column(2).to_pylist()
+            x = [v.tobytes() for i, j in _blocks(texts) for v in weigh(grams(texts[i:j], dims)[0], idf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["lang", "nth", "vector"])
+
+    def clusters(t: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(t.sort_by([("nth", "ascending"), ("vector", "ascending")]).column("vector").to_pylist()), np.float32).reshape(t.num_rows, -1)
         c = cluster(x, k)
         sims = x @ c.T
-        own_of = sims.argmax(axis=1)
-        for i in range(len(c)):
-            near = sims[own_of == i, i]
-            floors.append(0.5 * float(np.quantile(near, 0.01)) if len(near) else 0.0)
-        centroids.append(c)
-        names += [str(lang)] * len(c)
-    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, dims), np.float32), names, np.array(floors))
+        own = sims.argmax(axis=1)
+        floors = [0.5 * float(np.quantile(near, 0.01)) if len(near := sims[own == i, i]) else 0.0 for i in range(len(c))]
+        columns = [pa.array([t.column("lang")[0].as_py()] * len(c)), pa.array(range(len(c)), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in c], pa.binary()), pa.array(floors, pa.float64())]
+        return pa.Table.from_arrays(columns, ["lang", "i", "centroid", "floor"])
+
+    # a language's vectors are `sample` of them, whatever the corpus; what comes to the driver is its centroids
+    found = chosen.mapInArrow(vectors, "lang string, nth int, vector binary").groupBy("lang").applyInArrow(clusters, "lang string, i int, centroid binary, floor double")
+    rows = sorted(found.collect(), key=lambda r: (r.lang, r.i))
+    centroids = np.array([np.frombuffer(r.centroid, np.float32) for r in rows]) if rows else np.zeros((0, dims), np.float32)
+    return Model(idf, centroids, [r.lang for r in rows], np.array([r.floor for r in rows]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -194,6 +201,3 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected"
     )
 
-
-def crc(x: object) -> int:
-    return zlib.crc32(str(x).encode())

@@ -165,6 +165,7 @@ def test_simhash(spark, docs, texts):
 
 def test_simhash_large_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARE", 8)
+    monkeypatch.setattr(simhash, "BLOCK", 50)
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(6)]
     fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for b in base for _ in range(40)})
@@ -392,6 +393,9 @@ def test_near_vectors(spark, monkeypatch):
     x = rng.normal(size=(300, 16))
     x = np.concatenate([x, x[:60] + 0.05 * rng.normal(size=(60, 16)), np.repeat(x[:1], 40, 0) + 0.02 * rng.normal(size=(40, 16)), x[:3]]).astype(np.float32)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    short = rng.normal(size=(30, 5))
+    short = np.concatenate([short, short[:10] * 3 + 0.01])
+    rows += [(500 + i, v.tolist(), 0) for i, v in enumerate(short)]
     odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] * 8, 0), (904, [], 0), (905, [1.0] * 4, 0)]
     got = {r.vec_id: r for r in pivots.near_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")).collect()}
     u = pivots.unit(x)
@@ -400,6 +404,16 @@ def test_near_vectors(spark, monkeypatch):
     assert (mine <= true).all() and mine.sum() >= 0.9 * true.sum()
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(900, 906))
     assert all(got[i].component_id == 0 for i in range(360, 400))
+    w = pivots.unit(short)
+    links = (w @ w.T >= 0.9).sum(axis=1) - 1
+    mine = np.array([got[500 + i].n_links for i in range(40)])
+    assert (mine <= links).all() and mine.sum() >= 0.9 * links.sum() and mine.sum() >= 20
+    # a length that no pivot was chosen for: one list, everything compared
+    monkeypatch.setattr(pivots, "SAMPLE", 1)
+    few = pivots.near_vectors(spark.createDataFrame(rows[360:], "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in few if r.vec_id >= 500} == {500 + i: n for i, n in enumerate(links)}
+    twice = pivots.near_vectors(spark.createDataFrame([rows[0], rows[0], (None, rows[0][1], 0), rows[1]], "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id is None, r.vec_id or 0, r.n_links) for r in twice) == [(False, 0, 1), (False, 0, 1), (False, 1, 0), (True, 0, 0)]
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
