@@ -327,5 +327,6 @@ def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 512], pa.array(pictures, pa.binary())], ["image_id", "image"])
 
     # describing a picture costs far more than the shuffle of its vector; the file alone would make few tasks of many
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(parts, "vec_id")
     return image_copies(vectors.mapInArrow(run, "image_id long, image binary"))

@@ -140,10 +140,10 @@ def fit(labelled: DataFrame, dims: int = DIMS, sample: int = SAMPLE, k: int = CE
     for gram, n in rows:
         df[gram + 1] = n
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    # each task keeps its `sample` first rows of a language before the shuffle
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().withColumn("nth", F.row_number().over(order))
-    picked = durable(ranked.where(F.col("nth") <= sample).select("lang", "doc_id", "nth"))
+    # the first `sample` rows of each of 16 shares of a language, and of these the first: at most 16 x sample rows of a language meet
+    first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("nth") <= sample)
+    hashed = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    picked = durable(first(first(hashed, "lang", F.expr("pmod(h, 16)")), "lang").select("lang", "doc_id", "nth"))
     chosen = labelled.join(sized(picked), ["lang", "doc_id"]).select("lang", "nth", "text")
 
     def vectors(batches):

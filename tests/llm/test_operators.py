@@ -565,6 +565,46 @@ def test_pipeline(spark, tmp_path):
         assert stages[name](spark, empty(spark), str(tmp_path)).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    line = lambda: prose(rng, 40)
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    long = prose(rng, 3000)
+    rows += [(50, rows[4][1]), (51, rows[5][1] + "\n" + rows[6][1] + "\n" + line()), (52, long), (53, long.replace("river", "rivers", 1)), (54, None), (55, "12 !")]
+    rows += [(60 + i, f"{line()} write to ann{i}@x.org or 10.0.0.{i}, +1 555 123 45{i}7 8") for i in range(6)]
+    spark.createDataFrame([(i, t, "en" if i % 2 else "de", "s", 0) for i, t in rows], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.fit(docs)
+    kept = [(i, t) for (i, t), (_, _, rejected) in zip(rows, model.predict([t for _, t in rows]), strict=True) if not rejected]
+    kept = [(i, t) for i, t in dedup(kept, lines.MIN_LINES, lines.MIN_CHARS).items() if t.strip(" ") or t == dict(rows)[i]]
+    fp = {i: simhash_of(t) for i, t in kept}
+    alone = []
+    for i in fp:
+        reach, todo = {i}, [i]
+        while todo:
+            j = todo.pop()
+            new = {k for k in fp if k not in reach and (fp[j] ^ fp[k]).bit_count() <= 4}
+            reach |= new
+            todo += new
+        alone += [i] if min(reach) == i else []
+    clean = {}
+    for i in alone:
+        out, at = "", 0
+        for a, k, b in base_spans(dict(kept)[i]):
+            out, at = (out + dict(kept)[i][at:a] + ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")[k], b) if a >= at else (out, max(at, b))
+        clean[i] = out + dict(kept)[i][at:]
+    assert not disclosing([(i, dict(kept)[i]) for i in alone], pii.SUPPORT, pii.KIND_SUPPORT, pii.GENERALISE)
+    tokenizer, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), Counter()
+    for i, t in clean.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        want.update((i, at, zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes()), len(ids)) for at in range(0, len(ids), 2048))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in got) == want
+    assert {50, 53, 54, 55}.isdisjoint(clean) and {52, 60, 65} <= set(clean)
+
+
 def test_near_dedup_tells_rows_of_one_id_apart(spark):
     rng = random.Random(16)
     a, b, c, d, e = (prose(rng, 200) for _ in range(5))
