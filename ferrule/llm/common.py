@@ -64,32 +64,11 @@ def small(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-class Generations(dict):
-    """A memo of f with bounded memory: two generations of at most `size` entries each.
-
-    When the young generation is full it becomes the old one; an entry of the old generation
-    that is asked for again is carried over. Only speed depends on the bound, never a result.
-    """
-
-    def __init__(self, f: Callable, size: int):
-        super().__init__()
-        self.f, self.size, self.old = f, size, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.f(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Memo:
     """A memo of a function from a list of strings to the list of their values, asked for many keys at a time.
 
-    Two generations as in Generations; keys of `longest` characters on are never kept.
+    Memory is bounded: two generations of about `size` entries each, of which the older one goes when the younger is
+    full, and keys of `longest` characters on are never kept. Only speed depends on the bounds, never a result.
     """
 
     def __init__(self, f: Callable[[list], list], size: int, longest: int = 1_000):
