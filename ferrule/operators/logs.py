@@ -18,10 +18,20 @@ INLINING_LINE = r"^\s*@\s*(\d+)\s+([^\s]+)\s+\((\d+)\s+bytes\)\s+(.+)$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, file, line_no (in the file's order); files are read whole, so that order is theirs."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
-    split = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)
-    return files.select("file", F.posexplode(split).alias("line_no", "line"))
+    """file, line_no (from 0, in the file's order), line. Large files are read in splits, by many tasks.
+
+    A split's lines come in order; the numbers of lines in the splits before it, a row a split, are added.
+    """
+    from pyspark.sql import Window
+
+    block = ["file", "_block"]
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")
+    )
+    counts = raw.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*block, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    return raw.join(base, block).select("file", (F.col("_id") + F.col("_base")).alias("line_no"), "line")
 
 
 MARK = "\x01"

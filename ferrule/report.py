@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,24 @@ def write_csv(row: DataFrame, path: str) -> None:
     pairs(row).withColumnsRenamed({"key": "Key", "value": "Value"}).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def flame_html(stacks: DataFrame, title: str = "Flame graph", rows: int = 2000) -> str:
-    """A page with one bar a stack, widest first; a page shows `rows` bars."""
-    bars = flame_shares(stacks).orderBy(F.desc("count"), "stack").limit(rows).collect()
+def _flame_parts(stacks: DataFrame, title: str):
     line = '<div style="width:{:.2f}%" title="{:.2f}%">{} ({})</div>'
-    return f"<html><head><title>{html.escape(title)}</title></head><body>" + "".join(line.format(b.width, b.percent, html.escape(b.stack), b["count"]) for b in bars) + "</body></html>"
+    yield f"<html><head><title>{html.escape(title)}</title></head><body>"
+    for b in flame_shares(stacks).orderBy(F.desc("count"), "stack").toLocalIterator():
+        yield line.format(b.width, b.percent, html.escape(b.stack), b["count"])
+    yield "</body></html>"
+
+
+def flame_html(stacks: DataFrame, title: str = "Flame graph") -> str:
+    """A page with one bar a stack, widest first."""
+    return "".join(_flame_parts(stacks, title))
+
+
+def write_flame(stacks: DataFrame, path: str, title: str = "Flame graph") -> None:
+    """The page of flame_html as a file of the driver's; folders that are missing are made, and a task's bars are held at a time."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(_flame_parts(stacks, title))
 
 
 def dashboard(jit: dict | None, gc: dict | None, cached: int, loaders: int = 0) -> str:

@@ -92,6 +92,27 @@ def test_calls_against_a_stack(spark):
     assert {r.thread: (r.executions, r.total_nanos) for r in stats.execution_stats(c, "thread", "at", "kind", "nanos").collect()} == want
 
 
+def test_lines_of_large_files_keep_their_order(spark, tmp_path):
+    texts = {"a.log": [f"line {i} " + "x" * (i % 50) for i in range(3000)], "b.log": ["one", "", "three"]}
+    for name, own in texts.items():
+        (tmp_path / name).write_text("\n".join(own) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        read = logs.read_lines(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 1
+        rows = sorted((r.file.rpartition("/")[2], r.line_no, r.line) for r in read.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [(name, i, x) for name in sorted(texts) for i, x in enumerate(texts[name])]
+
+
+def test_flame_page_shows_every_stack(spark, tmp_path):
+    stacks = spark.range(2500).selectExpr("concat('s', id) as stack", "id + 1 as count")
+    report.write_flame(stacks, str(tmp_path / "new" / "f.html"))
+    page = (tmp_path / "new" / "f.html").read_text()
+    assert page.count("<div") == 2500 and page == report.flame_html(stacks)
+
+
 def test_scan_sorts_lines(spark):
     both = lines(spark, *GC, '[1.5s][info][safepoint] Safepoint "X", Time since last: 1 ns, Reaching safepoint: 2 ns, At safepoint: 3 ns, Total: 5 ns')
     gc, safe = logs.scan_gc(both)
