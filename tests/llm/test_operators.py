@@ -209,7 +209,49 @@ def test_line_dedup(spark, m):
     assert got == dedup(rows, m, lines.MIN_CHARS)
     assert lines.dedup_lines(df.limit(0), min_lines=m).count() == 0
     twice = lines.dedup_lines(df.unionAll(df), min_lines=m)
-    assert twice.count() == 2 * len(rows)
+    assert twice.count() == 2 * len(rows) and twice.columns == ["doc_id", "text", "th", "n_lines", "n_removed"]
+
+
+def runs_of(rows, m):
+    """Brute force: (doc, line) -> longest repeated run that starts there, and whether its first m lines stand further up."""
+    own = {d: [x for x in (t or "").split("\n") if x.strip(" ")] for d, t in rows}
+    copies, first = Counter(), {}
+    for d, x in sorted(own.items()):
+        for i in range(len(x)):
+            for n in range(1, len(x) - i + 1):
+                copies[tuple(x[i : i + n])] += 1
+                first.setdefault(tuple(x[i : i + n]), (d, i))
+    out = {}
+    for d, x in own.items():
+        for i in range(len(x)):
+            longest = max((n for n in range(1, len(x) - i + 1) if copies[tuple(x[i : i + n])] > 1), default=0)
+            if longest:
+                out[d, i] = (longest, longest >= m and first[tuple(x[i : i + m])] != (d, i))
+    return out
+
+
+@pytest.mark.parametrize("m", [1, 2, 5])
+def test_repeated_runs(spark, m):
+    rng = random.Random(30 + m)
+    passage = [f"p{i}" for i in range(41)]
+    rows = []
+    for i in range(30):
+        cut = rng.randint(0, 40)
+        x = [rng.choice("abc") for _ in range(rng.randint(1, 9))] + passage[cut : cut + rng.randint(0, 41)] + [f"own{i}"] * rng.randint(0, 2)
+        rows.append((i, "\n".join(x + [rng.choice("ab") for _ in range(rng.randint(0, 20))])))
+    rows += [(40, "a\n" * 70), (41, "c\n \n" + "a\n" * 70), (42, "\n".join(passage)), (43, ""), (44, "\n".join(["z", *passage]))]
+    texts = lines.text_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.at): (r.length, r.later) for r in lines.repeated_runs(texts, m).collect() if r.length}
+    assert got == runs_of(rows, m)
+
+
+def test_line_dedup_of_copies(spark):
+    long = "long " * 14
+    rows = [(None, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc"), (3, "a\nb"), (4, "q"), (5, "q"), (6, long), (7, long + "\n"), (8, long), (8, "q"), (9, "q\n\nq"), (10, "q\n\nq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()]
+    want = [(None, "a\nb\nc", 3, 0), (1, "", 3, 3), (2, "", 3, 3), (3, "", 2, 2), (4, "q", 1, 0), (5, "q", 1, 0), (6, long, 1, 0), (7, "", 1, 1), (8, "", 1, 1), (8, "q", 1, 0), (9, "q\n\nq", 2, 0), (10, "", 2, 2)]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 SPEC = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
