@@ -513,6 +513,37 @@ def test_passages_whose_seeds_first_occur_apart(spark):
     assert parts[0][0] == 0 and parts[-1][1] == 120 and all(a[1] - b[0] >= 39 for a, b in zip(parts, parts[1:]))
 
 
+def test_passages_with_edits_against_brute_force(spark):
+    """Passages at the threshold: each edit leaves four equal words at most, and the seeds that remain occur first elsewhere."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    rows, pairs = [], {}
+    for k in range(30):
+        a, step = text(rng.choice((40, 45, 50, 60))), (5, 6, 8)[k % 3]
+        b = [word() if i % step == step - 1 else w for i, w in enumerate(a)]
+        if k % 2:  # a word more for every second edit, so that lengths differ
+            b = [x for i, w in enumerate(b) for x in ([w, word()] if i % (4 * step) == step - 1 and step > 5 else [w])]
+        rows += [(1000 + 2 * k, text(20) + a + text(15)), (1001 + 2 * k, text(9) + b + text(30)), (k, text(30) + a[:20] + text(30))]
+        pairs[1001 + 2 * k, 1000 + 2 * k] = max(len(a), len(b)), passages.distance(*(np.array([hash(w) for w in x]) for x in (a, b)), 99)
+    found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.source_doc_id) for r in found}
+    due = {p for p, (n, d) in pairs.items() if d <= n * (1 - passages.IDENTITY) + 1e-9}
+    assert len(due) >= 25 and due - got == set() and got <= set(pairs)
+    assert all(r.n_words >= passages.MIN_WORDS and r.identity >= passages.IDENTITY - 1e-9 for r in found)
+
+
+def test_passages_of_a_variant_of_a_variant(spark):
+    """The third text is within the threshold of the second alone, whose seeds all occur first in the first."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a = [word() for _ in range(60)]
+    b = [word() if i % 8 == 3 else w for i, w in enumerate(a)]
+    c = [word() if i % 8 == 7 else w for i, w in enumerate(b)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((a, b, c))], "doc_id long, text string")
+    assert {(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(df).collect()} == {(1, 0), (2, 1)}
+
+
 def test_every_exact_run_is_in_a_passage(spark):
     rng = random.Random(15)
     pool = [["".join(rng.choice("abcd") for _ in range(4)) for _ in range(rng.randint(8, 25))] for _ in range(14)]
