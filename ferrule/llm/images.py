@@ -7,8 +7,8 @@ one at least when at most three bits differ; a cell is one part of both corners.
 are shared by too many strangers; two corners side by side rarely are.
 
 Candidates are all pairs of images that share HITS cells, found in two rounds so that n copies don't make
-n * n pairs: first each image is held against the first image of its cells with which it shares most; then,
-cell by cell, all pairs of images that are not in one class by then. Candidates are held against each other by
+n * n pairs: first each image is held against the first image of its cells with which it shares most; then all pairs
+of images that are not in one class by then, by rare cells or two common cells at once. Candidates are held against each other by
 all their descriptors: matches vote for a similarity transform, CONSENSUS corners in one cell of
 scale, turn and shift make a link.
 """
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import components, durable, sized, small, table
 
 SCALES, CORNERS, RADIUS, TESTS, HITS, NEAR, CONSENSUS = (1.0, 0.8, 0.64, 0.512), 14, 7, 128, 3, 16, 6
+#: Classes of a cell of which all pairs are looked at.
+FEW = 16
 #: Neighbours that a corner is paired with; pixels for which an image has CORNERS corners a scale.
 BESIDE, AREA = 2, 128 * 128
 TURNS = 32
@@ -250,8 +252,7 @@ def match(found: DataFrame) -> DataFrame:
     """u, v: pairs of images that agree and, between them, join all candidates that do.
 
     Each image is first held against the first member of its cells with which it shares most of them. Then all
-    pairs of a cell's members in different classes are counted: in a cell full of copies only members outside
-    the class of its first one meet the others, so copies cost one row each.
+    pairs of images in different classes that share HITS cells are looked for by close_pairs().
     """
     rows = cell_rows(found)
     first = rows.groupBy("cell").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("cell", "hub")
@@ -263,10 +264,46 @@ def match(found: DataFrame) -> DataFrame:
     at = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
     classed = shared.join(at("id"), "id", "left").join(at("hub"), "hub", "left")
     classed = classed.select("cell", "id", F.coalesce("root_id", "id").alias("own"), F.coalesce("root_hub", "hub").alias("major"))
-    strangers = classed.where("own <> major").select("cell", F.col("id").alias("x"), F.col("own").alias("own_x"))
-    met = strangers.join(classed, "cell").where("own <> own_x and (own = major or own_x < own)")
-    pairs = met.groupBy(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= HITS)
-    return links.union(verify(durable(pairs.select("u", "v")), found))
+    mixed = classed.where("own <> major").select("cell").distinct()
+    pairs = close_pairs(durable(classed.join(mixed, "cell", "left_semi").select("cell", "id", "own")))
+    return links.union(verify(durable(pairs), found))
+
+
+def close_classes(each: DataFrame) -> DataFrame:
+    """u, v: all pairs of classes that share HITS cells, of each(cell, own, n), n > 1 classes being in the cell.
+
+    All pairs of a cell's classes are looked at only where these are FEW. Two that share cells of more classes alone
+    share the two rarest of them, beside which each has one more, so they meet by pairs of cells; strangers that share one
+    common cell by chance never meet there.
+    """
+    side = lambda df, k, *more: df.select(*more, F.col("own").alias(k))
+    rare = each.where(F.col("n") <= FEW)
+    few = side(rare, "u", "cell").join(side(rare, "v", "cell"), "cell").where("u < v").groupBy("u", "v").agg(F.count("*").alias("n"))
+    common = each.where(F.col("n") > FEW).groupBy("own").agg(F.array_sort(F.collect_list(F.struct("n", "cell"))).alias("s"))
+    common = durable(common.select("own", F.expr("s.cell").alias("cells")))
+    two = "flatten(transform(sequence(0, size(cells) - 3), i -> transform(sequence(i + 1, size(cells) - 2), j -> struct(cells[i] as a, cells[j] as b))))"
+    keys = durable(common.where(f"size(cells) >= {HITS}").select("own", F.explode(F.expr(two)).alias("k")).select("own", "k.a", "k.b"))
+    by_two = side(keys, "u", "a", "b").join(side(keys, "v", "a", "b"), ["a", "b"]).where("u < v").select("u", "v", F.lit(0).cast("long").alias("n")).distinct()
+    met = durable(few.union(by_two).groupBy("u", "v").agg(F.sum("n").alias("n")))
+    cells = lambda k: common.select(F.col("own").alias(k), F.col("cells").alias(f"cells_{k}"))
+    more = met.where(F.col("n") < HITS).join(cells("u"), "u").join(cells("v"), "v").where(f"n + size(array_intersect(cells_u, cells_v)) >= {HITS}")
+    return met.where(F.col("n") >= HITS).select("u", "v").union(more.select("u", "v"))
+
+
+def close_pairs(classed: DataFrame) -> DataFrame:
+    """u, v: all pairs of images of different classes that share HITS cells, of classed(cell, id, own)."""
+    each = classed.select("cell", "own").distinct()
+    each = durable(each.join(each.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell"))
+    many = classed.groupBy("own").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi or lo <> own").select("own")
+    met = close_classes(each)
+    met = met.join(many.select(F.col("own").alias("u"), F.lit(True).alias("many_u")), "u", "left").join(many.select(F.col("own").alias("v"), F.lit(True).alias("many_v")), "v", "left")
+    met = durable(met.select("u", "v", F.expr("many_u is not null or many_v is not null").alias("many")))
+    at = lambda k: each.select("cell", F.col("own").alias(k))
+    image = lambda k, x: classed.select("cell", F.col("own").alias(k), F.col("id").alias(x))
+    cells = met.where("many").select("u", "v").join(at("u"), "u").join(at("v"), ["v", "cell"])
+    pairs = cells.join(image("u", "x"), ["u", "cell"]).join(image("v", "y"), ["v", "cell"])
+    pairs = pairs.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= HITS)
+    return met.where("not many").select("u", "v").union(pairs.select("u", "v"))
 
 
 def image_copies(images: DataFrame, key: str = "image_id", column: str = "image") -> DataFrame:
