@@ -544,6 +544,54 @@ def test_passages_of_a_variant_of_a_variant(spark):
     assert {(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(df).collect()} == {(1, 0), (2, 1)}
 
 
+def test_passages_of_common_lines_and_repeating_words(spark):
+    """Runs of common lines alone make a passage where lines follow each other; a line that all hold makes no pair of each two."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    lines = [text(9) for _ in range(12)]
+    rows = [text(40) + lines[0] + text(30) + lines[1 + i % 11] + text(40) for i in range(300)]
+    due = set()
+    for k in range(4):  # five lines in a row, three words of which are others in the copy
+        a = [w for i in rng.sample(range(12), 5) for w in lines[i]]
+        b = [word() if i % 15 == 3 * k + 1 else w for i, w in enumerate(a)]
+        due.add((len(rows) + 1, len(rows)))
+        rows += [text(25) + a + text(30), text(10) + b + text(20)]
+    for k in range(4):  # a word repeated, and words around it that differ here and there
+        a = text(14) + [f"w{k}"] * 25 + text(14)
+        b = [word() if i in (5, 10, 44, 49) else w for i, w in enumerate(a) if i != 20]
+        due.add((len(rows) + 1, len(rows)))
+        rows += [text(25) + a + text(30), text(10) + b + text(20)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    found = passages.repeated_passages(df).collect()
+    assert due <= {(r.doc_id, r.source_doc_id) for r in found} and all(r.doc_id >= 300 for r in found)
+    words = passages.sketches(df).select(F.col("doc_id").alias("id"), "words").withColumn("covered", F.lit(None).cast("array<struct<start_word: int, end_word: int, identity: double>>"))
+    assert passages._candidates(words).count() < 2_000  # 300 documents with one line in common are 44,850 pairs
+
+
+def test_passages_meet_in_any_repeating_text(spark):
+    """Texts of few words, full of repetition: whatever lies around equal runs of three words of two documents is found without meeting them all."""
+    rng = random.Random(19)
+    rows = []
+    for i in range(40):
+        w = []
+        while len(w) < 60:
+            w += [str(rng.randrange(40)) for _ in range(rng.randint(1, 3))] * rng.choice((1, 1, 4, 9, 14))
+        w += rows[rng.randrange(i)][10:55] if i % 2 else []
+        rows.append([x if rng.random() > 0.05 else str(rng.randrange(40)) for x in w])
+    ids = [np.array([int(x) for x in w], np.uint16) for w in rows]
+    due = set()
+    for j, b in enumerate(ids):
+        for i, a in enumerate(ids[:j]):
+            met = [(x, y) for x, p in enumerate(passages.run_keys(a)) for y, q in enumerate(passages.run_keys(b)) if p == q]
+            if any(passages.around(a, b, x, y) for x, y in met):
+                due.add((j, i))
+    docs = spark.createDataFrame([(i, bytearray(a.tobytes()), None) for i, a in enumerate(ids)], "id long, words binary, covered array<struct<start_word: int, end_word: int, identity: double>>")
+    links = passages.chain_table(passages._candidates(docs), passages.SHORT, passages.AROUND, 1)
+    found = passages._verified(links, docs.select("id", "words"), passages.MIN_WORDS, passages.IDENTITY, passages.AROUND, passages.around_parts).collect()
+    assert len(due) > 15 and {(r.doc_id, r.source_doc_id) for r in found} == due
+
+
 def test_every_exact_run_is_in_a_passage(spark):
     rng = random.Random(15)
     pool = [["".join(rng.choice("abcd") for _ in range(4)) for _ in range(rng.randint(8, 25))] for _ in range(14)]
